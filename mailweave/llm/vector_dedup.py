@@ -154,7 +154,7 @@ def _tally_all(distinct: DataFrame, d: int, n: int, threshold: float) -> DataFra
         centre = centre / length if length > 1e-9 else u[0]
         radius = float(np.arccos(np.clip(u @ centre, -1, 1)).max()) + 1e-6
         blob = x.astype(x.dtype.newbyteorder("<")).tobytes()
-        return pa.table({"tile": [group["tile"][0].as_py()], "nodes": [group["node"].to_numpy().astype("<i8").tobytes()], "weights": [group["weight"].to_numpy().astype("<i8").tobytes()], "x": [blob], "double": [x.dtype == np.float64], "centre": [centre.tolist()], "radius": [radius]})
+        return pa.table({"tile": pa.array([group["tile"][0].as_py()], pa.int32()), "nodes": [group["node"].to_numpy().astype("<i8").tobytes()], "weights": [group["weight"].to_numpy().astype("<i8").tobytes()], "x": [blob], "double": [x.dtype == np.float64], "centre": [centre.tolist()], "radius": [radius]})
 
     payload = "tile int, nodes binary, weights binary, x binary, double boolean"
     tiles = materialise(keyed.select("tile", "node", "weight", "v").groupBy("tile").applyInArrow(build, payload + ", centre array<double>, radius double"), "tiles")
