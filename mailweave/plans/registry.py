@@ -2,10 +2,160 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mailweave.functions import policy, text, xml
+from mailweave.operators import threads, trimming
+from mailweave.sources import messages, table
+
+_QUERIES, _SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+_ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_CDATA = "'<![CDATA[' || replace({0}, ']]>', ']]]]><![CDATA[>') || ']]>'"
+_BODY = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
+_DOCUMENTS = rf"""
+WITH m AS (SELECT conv_id, turn + 1 AS n, CASE WHEN turn > 0 THEN role ELSE '' END AS name, role || '@example.com' AS email,
+  strftime(DATE '2026-01-01' + turn::INT, '%Y-%m-%dT09:30:00.000Z') AS d, strftime(DATE '2026-01-01' + turn::INT, '%a, %b %-d, %Y at 9:30 AM') AS l,
+  CASE WHEN {_BODY} = '' THEN '[no text content]' ELSE {_BODY} END AS body FROM conversations),
+b AS (SELECT conv_id, count(*) AS c, min(d) AS d0, max(d) AS d1, string_agg('<message n="' || n || '" date="' || d || '" local="' || l || '" from="' || CASE WHEN name <> '' THEN name ELSE email END || '" email="' || email || '">' || chr(10) ||
+  '<body format="markdown">' || {_CDATA.format("body")} || '</body>' || chr(10) || '</message>', chr(10) ORDER BY n) AS blocks FROM m GROUP BY conv_id),
+p AS (SELECT conv_id, email, min(n) AS o, coalesce(arg_min(name, n) FILTER (WHERE name <> ''), '') AS name FROM m GROUP BY conv_id, email),
+q AS (SELECT conv_id, string_agg('<participant ' || CASE WHEN name <> '' THEN 'name="' || name || '" ' ELSE '' END || 'email="' || email || '"/>', chr(10) ORDER BY o) AS people FROM p GROUP BY conv_id)
+SELECT 'thread-' || conv_id AS thread_id, '<email_thread format_version="3">' || chr(10) || '<meta>' || chr(10) || '<subject>(no subject)</subject>' || chr(10) || '<messages>' || c || '</messages>' || chr(10) ||
+ '<participants>' || chr(10) || people || chr(10) || '</participants>' || chr(10) || CASE WHEN c > 1 THEN '<date_range>' || d0 || ' to ' || d1 || '</date_range>' || chr(10) ELSE '' END || '<source>table</source>' || chr(10) ||
+ '<content_trust>untrusted_email_and_attachment_text</content_trust>' || chr(10) || '<completeness messages="true" headers="true" attachments="true"/>' || chr(10) || '<complete>true</complete>' || chr(10) || '</meta>' || chr(10) || blocks || chr(10) || '</email_thread>' AS document
+FROM b JOIN q USING (conv_id)"""
+
+
+@query(_DOCUMENTS)
+def thread_documents(spark: SparkSession, d: str) -> DataFrame:
+    m = messages(spark, d)
+    return threads.documents(m.select("thread_id").distinct().select("thread_id", F.lit("").alias("subject"), F.lit("table").alias("source"), F.lit(True).alias("complete")), m)
+
+
+@query("SELECT conv_id, min(turn) + 1 AS ord, coalesce(arg_min(role, turn) FILTER (WHERE turn > 0), '') AS name, role || '@example.com' AS email FROM conversations GROUP BY conv_id, role")
+def participant_list(spark: SparkSession, d: str) -> DataFrame:
+    m = messages(spark, d).select(F.substring_index("thread_id", "-", -1).cast("long").alias("thread_id"), F.col("n").alias("ord"), "name", "email")
+    return threads.participants(m).withColumnRenamed("thread_id", "conv_id")
+
+
+@query("SELECT conv_id, count(*) AS messages, strftime(min(DATE '2026-01-01' + turn::INT), '%Y-%m-%dT09:30:00.000Z') AS first_date, strftime(max(DATE '2026-01-01' + turn::INT), '%Y-%m-%dT09:30:00.000Z') AS last_date, count(*) = max(turn) + 1 AS complete FROM conversations GROUP BY conv_id")
+def thread_summary(spark: SparkSession, d: str) -> DataFrame:
+    m = messages(spark, d).groupBy(F.substring_index("thread_id", "-", -1).cast("long").alias("conv_id"))
+    return m.agg(F.count("*").alias("messages"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), (F.count("*") == F.max("n")).alias("complete"))
+
+
+@query(f"SELECT doc_id, {_ESC.format('text')} AS escaped, replace(replace({_ESC.format('text')}, '\"', '&quot;'), '''', '&apos;') AS quoted, {_CDATA.format('text')} AS cdata FROM documents WHERE text IS NOT NULL")
+def xml_text(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", xml.escaped(t).alias("escaped"), xml.quoted(t).alias("quoted"), xml.cdata(t).alias("cdata"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN s = '' THEN 'thread' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS s FROM documents)""")
+def subject_slug(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN floor(n / 1024.0 + 0.5)::BIGINT || ' KB' ELSE printf('%.1f', n / 1048576.0) || ' MB' END AS shown FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice)::BIGINT * l_linenumber * l_linenumber AS n FROM lineitem)""")
+def size_display(spark: SparkSession, d: str) -> DataFrame:
+    n = F.floor("l_extendedprice").cast("long") * F.col("l_linenumber") * F.col("l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.size_text(n).alias("shown"))
+
+
+@query("SELECT p_partkey, p_size::BIGINT * 1024 AS from_k, floor((p_size + 0.5) * 1048576 + 0.5)::BIGINT AS from_mb, NULL::BIGINT AS from_none FROM part")
+def size_parse(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_size").cast("string")
+    return table(spark, d, "part").select("p_partkey", text.size_bytes(F.concat(n, F.lit("K"))).alias("from_k"), text.size_bytes(F.concat(n, F.lit(",5 mb"))).alias("from_mb"), text.size_bytes(F.concat(n, F.lit(" parsecs"))).alias("from_none"))
+
+
+@query("SELECT o_orderkey, strftime(date_trunc('minute', o_orderdate), '%Y-%m-%dT%H:%M:00.000Z') AS iso FROM orders")
+def iso_dates(spark: SparkSession, d: str) -> DataFrame:
+    shown = F.date_format("o_orderdate", "EEE, MMM d, yyyy 'at' h:mm a")
+    return table(spark, d, "orders").select("o_orderkey", text.iso_time(shown, "UTC").alias("iso"))
+
+
+@query("SELECT c_custkey, lower(c_name) AS folded, trim(regexp_replace(lower(c_name), '[[:punct:]\\s]+', ' ', 'g')) AS plain, true AS same, false AS other FROM customer")
+def subject_match(spark: SparkSession, d: str) -> DataFrame:
+    name, reply = F.col("c_name"), F.concat(F.lit("Re: FWD : AW："), F.col("c_name"))
+    return table(spark, d, "customer").select("c_custkey", text.folded_subject(reply).alias("folded"), text.plain_subject(reply).alias("plain"), text.same_subject(name, reply).alias("same"), text.same_subject(name, F.concat(name, F.lit(" Q3"))).alias("other"))
+
+
+_EXT = ["pdf", "csv", "txt", "exe", "MD"]
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    ext = F.element_at(F.array(*map(F.lit, _EXT)), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", "source", "n_chars", F.concat("lang", F.lit("."), ext).alias("name"))
+
+
+_FILES_SQL = "(SELECT doc_id, source, n_chars, lang || '.' || ['pdf', 'csv', 'txt', 'exe', 'MD'][1 + doc_id % 5] AS name FROM documents)"
+
+
+@query(f"SELECT doc_id, lower(split_part(name, '.', 2)) AS extension, CASE doc_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/csv' WHEN 2 THEN 'text/plain' WHEN 3 THEN '' ELSE 'text/markdown' END AS mime, doc_id % 5 IN (1, 2, 4) AS inlineable FROM {_FILES_SQL}")
+def attachment_types(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("name")
+    return _files(spark, d).select("doc_id", text.extension(n).alias("extension"), text.mime_type(n).alias("mime"), text.inlineable(n).alias("inlineable"))
+
+
+_BUDGET = """WITH f AS (SELECT doc_id, lang || '/' || source AS thread, n_chars AS size, least(n_chars, 102400) AS want FROM documents),
+g AS (SELECT *, greatest(0, 307200 - coalesce(sum(want) OVER (PARTITION BY thread ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rest FROM f)
+SELECT doc_id, thread, least(want, rest)::BIGINT AS inlined_bytes, least(want, rest) < size AS truncated FROM g"""
+
+
+@query(_BUDGET)
+def inline_budget(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "documents").select("doc_id", F.concat("lang", F.lit("/"), "source").alias("thread"), F.col("n_chars").alias("size"))
+    return threads.inline_budget(f, "thread", "doc_id", "size").drop("size")
+
+
+@query(f"SELECT doc_id, CASE WHEN k = 1 THEN name ELSE split_part(name, '.', 1) || ' (' || (k - 1) || ').' || split_part(name, '.', 2) END AS target_name FROM (SELECT *, row_number() OVER (PARTITION BY source, name ORDER BY doc_id) AS k FROM {_FILES_SQL})")
+def name_collisions(spark: SparkSession, d: str) -> DataFrame:
+    return threads.distinct_names(_files(spark, d), "source", "doc_id", "name").select("doc_id", "target_name")
+
+
+_FIRST = """SELECT user_id AS thread_id, min(event_id) AS ord, event_type AS url, arg_min(CASE WHEN value > 50 THEN event_id END, event_id) FILTER (WHERE value > 50) AS message_n, arg_min(props, event_id) FILTER (WHERE props <> '') AS size FROM events GROUP BY user_id, event_type"""
+
+
+@query(_FIRST)
+def attachment_dedup(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("url"), F.when(F.col("value") > 50, F.col("event_id")).alias("message_n"), F.col("props").alias("size"))
+    return threads.first_attachments(e)
+
+
+@query("SELECT doc_id, 'status' AS kind, CASE WHEN doc_id % 7 = 0 THEN 'unsafe download link rejected' WHEN doc_id % 5 = 0 THEN 'no Gmail download link found' WHEN n_chars * 2000 > 26214400 THEN 'not downloaded: exceeds 25.0 MB limit' ELSE 'download started' END AS status FROM documents")
+def attachment_status(spark: SparkSession, d: str) -> DataFrame:
+    url = F.when(F.col("doc_id") % 5 != 0, "https://example.com/a")
+    return table(spark, d, "documents").select("doc_id", F.lit("status").alias("kind"), policy.attachment_status(F.col("doc_id") % 7 == 0, url, F.col("n_chars") * 2000, True).alias("status"))
+
+
+@query("SELECT page_id, page_id >= 1000 AS valid_id, page_id % 3 <> 0 AS safe, CASE page_id % 4 WHEN 0 THEN 'to' WHEN 1 THEN 'cc' WHEN 2 THEN 'bcc' END AS kind, CASE WHEN page_id % 4 = 3 THEN 'an Kim' ELSE 'Kim' END AS value FROM pages")
+def policies(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id") % 4
+    line = F.when(k == 0, "An: Kim").when(k == 1, "抄送： Kim").when(k == 2, "Blind Copy : Kim").otherwise("an Kim")
+    path = F.concat(F.lit("gmail-threads/"), F.when(F.col("page_id") % 3 == 0, "NUL.txt").otherwise("slug"), F.lit("/a.pdf"))
+    return table(spark, d, "pages").select("page_id", policy.valid_thread_id(F.col("page_id").cast("string")).alias("valid_id"), policy.safe_path(path).alias("safe"), policy.recipient_kind(line).alias("kind"), policy.recipient_value(line).alias("value"))
+
+
+@query()
+def trimmed_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return messages(spark, d).select("thread_id", "n", trimming.trimmed(F.col("body")).alias("t")).select("thread_id", "n", "t.*")
