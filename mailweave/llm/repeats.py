@@ -33,6 +33,8 @@ from mailweave.llm.text import BLOCK, U64, as_bytes, mix, powers, prefix
 LENGTH, GRAM = 400, 64
 #: Strings of a text that are looked at together; an anchor's place must fit in 24 bits.
 CHUNK = 1 << 23
+#: Keys that the places of one anchor are dealt over in joins.
+SALTS = 16
 #: Entries of an anchor that one task indexes; beyond, its windows are dealt out by fingerprint.
 MOST_ENTRIES = 2048
 
@@ -122,8 +124,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     found = materialise(texts.select("key", "text").mapInArrow(list_anchors, "key long, first long, last long, hash long"), "anchors")
     often = found.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1").select("hash")
+    # A frequent anchor's places are dealt over SALTS keys; the other side has one row per anchor and salt.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    own = found.withColumn("salt", F.pmod(F.xxhash64("key", "first"), F.lit(SALTS)).cast("int"))
+    again = own.join(often.select("hash", salts), ["hash", "salt"], "left_semi").drop("salt")
     # As many anchors at most as the key's text has places.
-    places = found.join(often, "hash", "left_semi").groupBy("key").agg(F.collect_list(F.struct("first", "last", "hash")).alias("anchors"))
+    places = again.groupBy("key").agg(F.collect_list(F.struct("first", "last", "hash")).alias("anchors"))
     wanted = texts.select("key", "text").join(places, "key")
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +180,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     repeated = repeated.union(spread.join(twice, "window", "left_semi").select("hash", "entry", "s", (F.col("s") + length).alias("e")))
     copied = many.where("m > 1").select("hash", "entry", F.lit(0).cast("long").alias("s"), F.octet_length("ctx").cast("long").alias("e")).where(F.col("e") >= length)
     repeated = repeated.union(copied)
-    slim = around.select("hash", entry.alias("entry"), "key", "low")
-    spans = slim.join(repeated, ["hash", "entry"]).select("key", (F.col("low") + F.col("s")).alias("s"), (F.col("low") + F.col("e")).alias("e"))
+    slim = around.select("hash", entry.alias("entry"), "key", "low", F.pmod(F.xxhash64("key", "low"), F.lit(SALTS)).cast("int").alias("salt"))
+    spans = slim.join(repeated.select("*", salts), ["hash", "entry", "salt"]).select("key", (F.col("low") + F.col("s")).alias("s"), (F.col("low") + F.col("e")).alias("e"))
     return spans.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
