@@ -1,8 +1,11 @@
 """Operator 1, mixing to target weights with soft domain membership.
 
 Domains are good, poor (quality 0) and toxic. A naive Bayes classifier over
-hashed words is fitted on all labelled documents; its table has a row for each of
-``buckets`` buckets, whatever the corpus size, so it is broadcast. A document's
+hashed words is fitted on a bounded sample of labelled documents: of each domain
+the ``per_domain`` labels that come first by a hash of the id. These ids and the
+classifier's table, which has a row for each of ``buckets`` buckets, are broadcast;
+both sizes are bounded whatever the corpus. The shares of the domains come from all
+labels. A document's
 posterior is tempered: its words count as at most ``evidence``. Then projected
 least squares finds non-negative rates, one per document, whose expected tokens
 by domain meet the targets: rates start at 1, each step is a pass that sums
@@ -18,6 +21,8 @@ serve stays unmet; the others are still fitted.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +37,14 @@ def _words() -> Column:
     return F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
 
 
-def classified(docs: DataFrame, labels: DataFrame, buckets: int = 4096, evidence: int = 40) -> DataFrame:
+def classified(docs: DataFrame, labels: DataFrame, buckets: int = 4096, evidence: int = 40, per_domain: int = 20_000) -> DataFrame:
     """(key, n_words, p_good, p_poor, p_toxic) of every distinct row (doc_id, text)."""
     worst = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce("toxic", F.lit(0))).alias("t"), F.min(F.coalesce("quality", F.lit(0))).alias("q"))
     domain = worst.select("doc_id", F.when(F.col("t") == 1, 2).when(F.col("q") == 0, 1).otherwise(0).alias("domain"))
+    first = F.xxhash64("doc_id", F.lit("sample"))
+    sample = reduce(DataFrame.union, (domain.where(F.col("domain") == k).orderBy(first, "doc_id").limit(per_domain) for k in range(3)))
     bucket = F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int").alias("bucket")
-    seen = docs.select("doc_id", "text").join(domain, "doc_id").select("domain", F.explode(_words()).alias("w")).groupBy("domain", bucket).agg(F.count("*").alias("n"))
+    seen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("domain", F.explode(_words()).alias("w")).groupBy("domain", bucket).agg(F.count("*").alias("n"))
     counts = np.full((3, buckets), 0.5)
     share = np.ones(3)
     for r in seen.collect():  # at most 3 * buckets rows
