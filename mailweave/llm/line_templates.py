@@ -10,7 +10,10 @@ different pairs of neighbour lines. Lines of recurring templates are dropped
 everywhere. The second condition leaves copies of whole documents to the
 near-duplicate operators: their lines recur, but always in the same place.
 
-All counts are partial aggregates; a leaf is never gathered. A null text stays
+All counts are partial aggregates; a leaf is never gathered. Only hashes of lines
+are stored and counted; the words of forms are read again from the texts, for busy
+leaves alone, which a broadcast set of at most ``BUCKETS`` leaf buckets picks out
+before an exact join. Whole texts are shuffled once, to meet their verdict. A null text stays
 null, a text without recurring lines stays as it is, a text of recurring lines
 only becomes empty. Equal texts count once and get the same answer. Other
 columns are kept.
@@ -24,28 +27,35 @@ from pyspark.sql import functions as F
 from mailweave.llm.store import materialise
 
 DEPTH, SIMILARITY, MIN_DOCS = 3, 0.8, 5
-_VARIABLE = r"\S*(?:[0-9]|@|://)\S*"
+BUCKETS = 1 << 18
+#: Linear in the length of a word: it starts where a word starts and never goes back.
+_VARIABLE = r"(?<!\S)(?:(?!://)[^\s0-9@])*+(?:[0-9@]|://)\S*"
 
 
 def line_table(texts: DataFrame, depth: int) -> DataFrame:
     """(key, pos, leaf, form, context, masked) of every line with a word."""
-    lines = F.split("text", "\n")
-    rows = texts.select("key", lines.alias("lines")).select("key", "lines", F.posexplode("lines").alias("pos", "line"))
-    around = F.xxhash64(F.get("lines", F.col("pos") - 1), F.lit("\n"), F.get("lines", F.col("pos") + 1))
-    masked = F.trim(F.regexp_replace(F.regexp_replace("line", _VARIABLE, "<*>"), "[ \\t\\x0B\\f\\r]+", " "))
-    rows = rows.select("key", "pos", around.alias("context"), masked.alias("masked")).where("masked <> ''")
+    masked = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, _VARIABLE, "<*>"), "[ \\t\\x0B\\f\\r]+", " "))
+    around = lambda i: F.xxhash64(F.get("lines", i - 1), F.lit("\n"), F.get("lines", i + 1))
+    each = F.transform("lines", lambda x, i: F.struct(masked(x).alias("masked"), around(i).alias("context")))
+    # The outer form keeps the optimiser from evaluating the array once more as a filter.
+    rows = texts.select("key", F.split("text", "\n").alias("lines")).select("key", F.posexplode_outer(each).alias("pos", "e"))
+    rows = rows.select("key", "pos", "e.context", "e.masked").where("masked <> ''")
     words = F.split("masked", " ")
     return rows.withColumn("leaf", F.xxhash64(F.size(words), F.slice(words, 1, depth))).withColumn("form", F.xxhash64("masked"))
 
 
 def recurring_lines(texts: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(key, drop): places of the lines to drop in texts(key, text) with distinct keys."""
-    lines = materialise(line_table(texts, depth), "lines")
+    """(key, drop): places of the lines to drop in texts(key, text); equal texts share a key and count once."""
+    parsed = line_table(texts, depth)
+    lines = materialise(parsed.select("key", "pos", "leaf", "form", "context"), "lines")
     busy = lines.select("leaf", "key").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    held = lines.join(busy, "leaf", "left_semi")
-    # Distinct (form, text) pairs first: the count per form then adds up one row per text.
-    forms = held.groupBy("leaf", "form", "key").agg(F.any_value("masked").alias("masked")).groupBy("leaf", "form").agg(F.count("*").alias("docs"), F.any_value("masked").alias("masked"))
-    forms = materialise(forms, "forms")
+    busy = materialise(busy, "busy")
+    held = materialise(lines.join(busy, "leaf", "left_semi").distinct(), "held")
+    counted = held.select("leaf", "form", "key").distinct().groupBy("leaf", "form").agg(F.count("*").alias("docs"))
+    bucket = F.pmod("leaf", F.lit(BUCKETS)).alias("bucket")
+    some = parsed.select("leaf", "form", "masked", bucket).join(F.broadcast(busy.select(bucket).distinct()), "bucket", "left_semi")
+    some = some.groupBy("leaf", "form").agg(F.any_value("masked").alias("masked"))
+    forms = materialise(some.join(counted, ["leaf", "form"]), "forms")
     best = forms.groupBy("leaf").agg(F.max_by(F.struct("masked", "form"), F.struct("docs", "form")).alias("best"))
     a, b = F.split("masked", " "), F.split("best.masked", " ")
     same = F.aggregate(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(0), lambda n, x: n + x.cast("int"))
@@ -59,7 +69,7 @@ def recurring_lines(texts: DataFrame, depth: int = DEPTH, similarity: float = SI
 
 def _judged(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
     keyed = docs.withColumn("__key", F.xxhash64("text"))
-    texts = keyed.where("text IS NOT NULL").groupBy(F.col("__key").alias("key")).agg(F.any_value("text").alias("text"))
+    texts = keyed.where("text IS NOT NULL").select(F.col("__key").alias("key"), "text")
     drop = recurring_lines(texts, **how).select(F.col("key").alias("__key"), F.col("drop").alias("__drop"))
     return keyed, drop
 
