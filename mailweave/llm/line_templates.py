@@ -34,14 +34,17 @@ _VARIABLE = r"(?<!\S)(?:(?!://)[^\s0-9@])*+(?:[0-9@]|://)\S*"
 
 def line_table(texts: DataFrame, depth: int) -> DataFrame:
     """(key, pos, leaf, form, context, masked) of every line with a word."""
-    masked = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, _VARIABLE, "<*>"), "[ \\t\\x0B\\f\\r]+", " "))
+    # The replacements are dear, so lines that cannot change are found by a plain search first.
+    varied = lambda x: F.when(x.rlike("[0-9@]|://"), F.regexp_replace(x, _VARIABLE, "<*>")).otherwise(x)
+    spaced = lambda x: F.when(x.rlike("[\\t\\x0B\\f\\r]|  "), F.regexp_replace(x, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(x)
+    masked = lambda x: F.trim(spaced(varied(x)))
     around = lambda i: F.xxhash64(F.get("lines", i - 1), F.lit("\n"), F.get("lines", i + 1))
     each = F.transform("lines", lambda x, i: F.struct(masked(x).alias("masked"), around(i).alias("context")))
     # The outer form keeps the optimiser from evaluating the array once more as a filter.
     rows = texts.select("key", F.split("text", "\n").alias("lines")).select("key", F.posexplode_outer(each).alias("pos", "e"))
     rows = rows.select("key", "pos", "e.context", "e.masked").where("masked <> ''")
-    words = F.split("masked", " ")
-    return rows.withColumn("leaf", F.xxhash64(F.size(words), F.slice(words, 1, depth))).withColumn("form", F.xxhash64("masked"))
+    n_words = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    return rows.withColumn("leaf", F.xxhash64(n_words, F.substring_index("masked", " ", depth))).withColumn("form", F.xxhash64("masked"))
 
 
 def recurring_lines(texts: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> DataFrame:
