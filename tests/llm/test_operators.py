@@ -124,6 +124,23 @@ def test_quality(docs, rows, labels, empty):
     assert perplexity.quality(empty, perplexity.train(empty, labels)).count() == 0
 
 
+def test_quality_of_every_language(spark):
+    rng = np.random.default_rng(7)
+    text = lambda lang: " ".join(f"{lang}{rng.integers(0, 60)}" for _ in range(int(rng.integers(60, 90))))
+    counts = {**{f"l{k:02d}x": 24 for k in range(17)}, "rare": 20}
+    rows = [(lang, text(lang)) for lang, n in counts.items() for _ in range(n)]
+    clean = [(lang, text(lang)) for lang in [*counts, "unlabelled"] for _ in range(3)] + [(None, text("none"))]
+    junk = [("rare", text("junk"))]
+    data = spark.createDataFrame([(i, t, lang, "s", 0, "n", "k") for i, (lang, t) in enumerate(rows + clean + junk)], SCHEMA).repartition(3)
+    good = spark.createDataFrame([(i, 1, 0) for i in range(len(rows))], "doc_id long, quality int, toxic int")
+    judge = perplexity.train(data, good)
+    assert set(judge.models) == set(counts)
+    got = {r.doc_id: r for r in perplexity.quality(data, judge).collect()}
+    assert all(got[i].kept for i in range(len(rows) + len(clean))) and not got[len(got) - 1].kept
+    assert all((got[len(rows) + i].log_perplexity is None) == (lang not in counts) for i, (lang, _) in enumerate(clean))
+    assert perplexity.keep_good(data, judge).count() == len(got) - 1
+
+
 def test_token_files(docs, rows, empty):
     from tokenizers import Tokenizer
 
