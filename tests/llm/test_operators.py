@@ -141,6 +141,18 @@ def test_quality_of_every_language(spark):
     assert perplexity.keep_good(data, judge).count() == len(got) - 1
 
 
+def test_quality_with_few_labels(spark):
+    rng = np.random.default_rng(11)
+    text = lambda word: " ".join(f"{word}{rng.integers(0, 60)}" for _ in range(int(rng.integers(60, 90))))
+    rows = [("big", text("big")) for _ in range(40)] + [("small", text("small")) for _ in range(8)] + [("tiny", text("tiny")) for _ in range(4)]
+    clean, junk = [(lang, text(lang)) for lang in ("big", "small", "tiny") for _ in range(5)], [("big", text("x")), ("small", text("x"))]
+    data = spark.createDataFrame([(i, t, lang, "s", 0, "n", "k") for i, (lang, t) in enumerate(rows + clean + junk)], SCHEMA).repartition(3)
+    good = spark.createDataFrame([(i, 1, 0) for i in range(len(rows))], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in perplexity.quality(data, perplexity.train(data, good)).collect()}
+    n = len(rows) + len(clean)
+    assert all(got[i].kept for i in range(n)) and not got[n].kept and not got[n + 1].kept
+
+
 def test_token_files(docs, rows, empty):
     from tokenizers import Tokenizer
 
