@@ -153,6 +153,24 @@ def test_quality_with_few_labels(spark):
     assert all(got[i].kept for i in range(n)) and not got[n].kept and not got[n + 1].kept
 
 
+def test_quality_lower_band(spark):
+    rng = np.random.default_rng(13)
+    text = lambda n: " ".join(f"w{int(400 * rng.random() ** 2)}" for _ in range(n))
+    # Every text has the same run of words, which alone is dull though no window of it repeats.
+    run = " ".join(f"s{i}" for i in range(60))
+    rows = [text(int(rng.integers(150, 250))) + " " + run for _ in range(80)]
+    changed = lambda t, at: " ".join("changed" if k == at else w for k, w in enumerate(t.split()))
+    rows += [changed(t, 40) for t in rows[:6]]
+    clean = [changed(t, 70) for t in rows]
+    rows.append(changed(run, 59))  # a dull document with a good label must not open the band
+    data = spark.createDataFrame([(i, t, "en", "s", 0, "n", "k") for i, t in enumerate([*rows, *clean, run])], SCHEMA).repartition(3)
+    good = spark.createDataFrame([(i, 1, 0) for i in range(len(rows))], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in perplexity.quality(data, perplexity.train(data, good)).collect()}
+    last, labelled = len(got) - 1, len(rows) - 1
+    assert not got[last].base_failed and not got[last].kept
+    assert all(got[i].kept for i in range(last) if i != labelled)
+
+
 def test_token_files(docs, rows, empty):
     from tokenizers import Tokenizer
 
