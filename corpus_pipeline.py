@@ -31,7 +31,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mixing", mixing), ("packing", packed)]
-#: Perplexity bands, MinHash and tokenising have no SQL; tests hold the stages against brute force.
+#: Perplexity bands, MinHash and tokenising have no SQL. Tests cover the operators; no test calls run() or a stage.
 ORACLE_SQL = None
 
 
