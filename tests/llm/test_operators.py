@@ -117,6 +117,19 @@ def test_mixture(docs, labels, empty):
     assert mixture.rates(empty, labels, aim).count() == 0 and mixture.mixed(docs, labels.limit(0), aim).columns == docs.columns
 
 
+def test_mixture_long_toxic(spark):
+    rng = np.random.default_rng(17)
+    text = lambda n, extra: " ".join(rng.permutation([f"w{rng.integers(0, 900)}" for _ in range(n)] + extra))
+    bad = [f"bad{i}" for i in range(8)]
+    rows = [(text(int(rng.integers(50, 900)), list(rng.choice(bad, 3)) if i % 4 == 0 else []), i % 4 == 0) for i in range(240)]
+    rows += [(text(1500, list(rng.choice(bad, 4))), True) for _ in range(5)] + [(text(1500, []), False) for _ in range(5)]
+    rows += rows[-10:-9] * 2
+    data = spark.createDataFrame([(min(i, 249), t, "en", "s", 0, "n", "k") for i, (t, _) in enumerate(rows)], SCHEMA)
+    given = spark.createDataFrame([(i, 1, int(rows[i][1])) for i in range(240)], "doc_id long, quality int, toxic int")
+    got = sorted(mixture.rates(data, given, {"good": 0.8, "poor": 0.1, "toxic": 0.1}).collect())
+    assert all(r.p_toxic > 0.7 for r in got if 240 <= r.doc_id < 245) and all(r.p_toxic < 0.3 for r in got if 245 <= r.doc_id < 249)
+
+
 def test_quality(docs, rows, labels, empty):
     got = perplexity.quality(docs, perplexity.train(docs, labels)).collect()
     assert sorted((r.doc_id or -1, r.n_words) for r in got) == sorted((i or -1, len((t or "").split())) for i, t in rows)
