@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from mailweave.llm import line_templates, lm, mixture, ngram_join, packing, perplexity, repeats, token_files, vector_dedup, wordpiece
 from mailweave.llm.tables import read
 
-#: Folder of the tokenizer files; another one can be named.
-TOKENIZERS = os.environ.get("MAILWEAVE_TOKENIZERS", "/opt/tokenizers")
 #: Shares of all tokens that each domain should have.
 TARGETS = {"good": 0.8, "poor": 0.15, "toxic": 0.05}
 #: All tokens of the mix against those of the documents.
 EPOCHS = 1.25
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), TARGETS, EPOCHS)
 
@@ -27,7 +31,7 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpiece.token_counts(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return wordpiece.token_counts(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ def op6_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_output(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", 1)
+    return token_files.token_output(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 1)
 
 
 def op8_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +60,7 @@ def op9_quantised_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailweave.llm import line_templates, lm, mixture, ngram_join, packing, perplexity, repeats, token_files, vector_dedup, wordpiece
+from mailweave.llm.queries import tokenizer_file
 from mailweave.llm.text import WHITE
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, key string"
-TOKENIZERS = "/opt/tokenizers"
 
 
 def words(text):
@@ -184,23 +184,67 @@ def test_quality_lower_band(spark):
     assert all(got[i].kept for i in range(last) if i != labelled)
 
 
-def test_token_files(docs, rows, empty):
+def specials(rows):
+    """The rows with strings of special tokens, wide white space and contractions added."""
+    return [*rows, (80, "hello <|endoftext|> there"), (81, "x<|endoftext|>y  <|startoftext|>\n"), (82, "a\u00a0 b \u2003c\u3000"), (83, "don't  WE'LL\t\n\ncafe\u0301 \u4e2d\u6587")]
+
+
+def expected_ids(rows, name, end):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
-    t.encode_special_tokens = True
-    got = token_files.token_output(docs, f"{TOKENIZERS}/word_bpe_49k.json", 1).collect()
+    t = Tokenizer.from_file(tokenizer_file(name))
+    return [(i, [*t.encode(text or "", add_special_tokens=False).ids, end]) for i, text in rows]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0, "n", "k") for i, t in rows], SCHEMA).repartition(4)
+
+
+def test_token_files(spark, rows, empty):
+    path, all_rows = tokenizer_file("word_bpe_49k.json"), specials(rows)
+    got = token_files.token_output(table(spark, all_rows), path, 1).collect()
     start, want = 0, []
-    for i, text in sorted(((i if i is not None else -1, t or "") for i, t in rows)):
-        ids = [*t.encode(text, add_special_tokens=False).ids, 1]
-        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    for i, ids in sorted((i if i is not None else -1, ids) for i, ids in expected_ids(all_rows, "word_bpe_49k.json", 1)):
+        want.append((i, start, len(ids), crc(ids)))
         start += len(ids)
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.start, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
-    assert token_files.token_output(empty, f"{TOKENIZERS}/word_bpe_49k.json", 1).count() == 0
-
-
-def test_packing(docs, empty):
-    got = packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json").collect()
+    assert token_files.token_output(empty, path, 1).count() == 0
+
+
+def test_token_files_refuse_other_paths(docs):
+    with pytest.raises(ValueError, match="file path"):
+        token_files.local_path("hdfs://host/folder")
+
+
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 64])
+def test_encoder_of_long_texts(monkeypatch, slice_bytes):
+    from mailweave.llm import encoding
+
+    monkeypatch.setattr(encoding, "SLICE", slice_bytes)
+    text = "Some words, 12 of them; and\u00a0more!  \n\n" * 400 + "x" * 5000 + " end"
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        ids, sizes = encoding.Encoder(tokenizer_file(name)).encode([b"", text.encode(), b"one two"], 7)
+        want = [ids for _, ids in expected_ids([(0, ""), (1, text), (2, "one two")], name, 7)]
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
+@pytest.mark.parametrize("part_rows", [1 << 15, 16])
+def test_packing(spark, rows, empty, monkeypatch, part_rows):
+    monkeypatch.setattr(packing, "PART_ROWS", part_rows)
+    path, all_rows = tokenizer_file("byte_bpe_50k.json"), specials(rows)
+    got = packing.pack(table(spark, all_rows), path, with_ids=True).collect()
+    want = []
+    for i, ids in expected_ids(all_rows, "byte_bpe_50k.json", 0):
+        first = len(ids) % 2048 or 2048
+        for k, start in enumerate([0, *range(first, len(ids), 2048)]):
+            own = ids[start : start + (2048 if k else first)]
+            want.append((i if i is not None else -1, k, start, len(own), crc(own)))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    assert all(crc(np.frombuffer(r.ids, "<u2")) == r.ids_crc32 for r in got)
     places = {}
     for r in got:
         places.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -210,8 +254,15 @@ def test_packing(docs, empty):
             assert offset == at
             at += length
         assert at <= 2048
-    assert len({r.doc_id for r in got}) == len({r.doc_id for r in docs.collect()})
-    assert packing.pack(empty, f"{TOKENIZERS}/byte_bpe_50k.json").count() == 0
+    least = -(-sum(r.length for r in got) // 2048)
+    assert len(places) <= least + (1 if part_rows > 100 else 8)
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_best_fit_of_given_gaps():
+    slots, left, opened = packing.best_fit({600: 3, 100: 1}, 2048, {650: 1, 700: 1})
+    assert sorted(slots) == [(100, 0, 1, 1, 1948), (600, 0, 1, 0, 1398), (600, 1, 2, 1, 1348), (600, 2, 3, 2, 0)] and opened == 3
+    assert sorted(left) == [(50, 0, 1), (1448, 2, 1)]
 
 
 def test_vectors(spark):
