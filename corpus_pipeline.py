@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mailweave.llm import line_templates, mixture, ngram_join, packing, perplexity
-from mailweave.llm.queries import EPOCHS, TARGETS, TOKENIZERS
+from mailweave.llm.queries import EPOCHS, TARGETS, tokenizer_file
 from mailweave.llm.store import materialise
 from mailweave.llm.tables import read
 
@@ -27,7 +27,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mixing", mixing), ("packing", packed)]
