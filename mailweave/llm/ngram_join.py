@@ -3,14 +3,20 @@
 A document's set holds its distinct windows of ``k`` words (all its words as one
 window if it has fewer). Documents with one set are one node, so copies meet
 once and count by their number. Band and row counts are the cheapest that find
-a pair at the threshold with probability ``recall``. Nodes are shuffled on
-(band, hash); buckets with the same members as one of an earlier band go, and
-full sets are sent only to buckets with two members or more. Large buckets are
-compared in tiles. A pair is verified where its first common band is, so its
-link counts once. Tiles send link counts and a spanning forest, never pairs.
+a pair at the threshold with probability ``recall``. Nodes are shuffled on band
+hashes, without their sets; nodes that share buckets, directly or by others, are a
+cluster. Full sets go to the task of their cluster, once, and there each pair with
+a common band is verified once. A cluster of more than ``TILE`` nodes is compared in
+tiles, either of the cluster or of its buckets, whichever sends fewer sets; in
+buckets a pair is verified where its first common band is. Tiles send link counts
+and a spanning forest, never pairs. Hot keys: copies are one node, aggregates
+combine before they shuffle, and a large cluster or bucket is dealt over its tiles.
 
 A null or empty text has no words and links with nothing. Repeated rows each
-get a row and count as links of one another. Other columns are ignored.
+get a row and count as links of one another. A null doc_id is kept only where no
+row of its class has an id. Very long texts are read whole; a worker holds the
+windows of one text at least. Other columns are ignored by ``near_copies`` and kept
+by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailweave.llm.components import components
-from mailweave.llm.store import materialise
+from mailweave.llm.store import free, materialise
+from mailweave.llm.tables import fresh
 from mailweave.llm.text import U64, as_bytes, mix, text_slices, window_hashes, words_of
-from mailweave.llm.vector_dedup import tally
+from mailweave.llm.vector_dedup import TALLY, tally
 
-#: Members of a tile of a bucket.
-TILE = 1024
+#: Nodes of a tile, and nodes of small clusters that share a task's group.
+TILE, GROUP = 1024, 512
 
 
 def choose_bands(threshold: float, recall: float, most_hashes: int = 160) -> tuple[int, int]:
@@ -64,7 +71,9 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, k: int, bands: int, rows: int, with_set: bool) -> DataFrame:
+def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, node, bands, grams): the hash of each document's set, its band hashes and 48 bits of each window."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(1))
@@ -76,12 +85,9 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int, with_set: bool) ->
                 if full:
                     for n, h in zip(full, band_hashes([sets[n] for n in full], bands, rows), strict=True):
                         hashes[n] = h.astype("<u8").tobytes()
-                columns = [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(node, pa.int64()), pa.array(hashes, pa.binary())]
-                names = ["doc_id", "node", "bands"]
-                if with_set:
-                    columns.append(pa.array([(s >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets], pa.binary()))
-                    names.append("grams")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                grams = [(s >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
+                columns = [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(node, pa.int64()), pa.array(hashes, pa.binary()), pa.array(grams, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "bands", "grams"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, bands binary, grams binary")
 
@@ -99,77 +105,120 @@ def similar_pairs(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshol
     used, of = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate(([0], np.cumsum(sizes)))
     mark = np.zeros(len(used), np.int32)
-    for x in np.unique(a[good]):
-        rows = np.flatnonzero((a == x) & good) if len(a) < 64 else np.arange(*np.searchsorted(a, [x, x + 1]))[good[slice(*np.searchsorted(a, [x, x + 1]))]]
+    pairs = np.flatnonzero(good)
+    first = np.flatnonzero(np.diff(a[pairs], prepend=-1))
+    for s, e in zip(first, np.append(first[1:], len(pairs)), strict=True):
+        x = a[pairs[s]]
         own = of[at[x] : at[x + 1]]
         mark[own] = 1
-        for r in rows:
-            y = b[r]
-            common = int(mark[of[at[y] : at[y + 1]]].sum())
-            good[r] = common >= threshold * (sizes[x] + sizes[y] - common) - 1e-9
+        for i in range(s, e, 256):
+            y = b[pairs[i : min(e, i + 256)]]
+            ends = np.cumsum(sizes[y])
+            others = np.repeat(at[y] - ends + sizes[y], sizes[y]) + np.arange(ends[-1])
+            common = np.add.reduceat(mark[of[others]], ends - sizes[y])
+            good[pairs[i : min(e, i + 256)]] = common >= threshold * (sizes[x] + sizes[y] - common) - 1e-9
         mark[own] = 0
     return good
 
 
+def candidates(unit: np.ndarray, side: np.ndarray, band: np.ndarray, h: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of a group to verify, sorted by a: of one unit, from both sides if ``across``, with a common band.
+
+    In a cluster (band -1) any band counts; in a bucket, the pair must not meet in an earlier band.
+    """
+    order = np.argsort(unit, kind="stable")
+    starts = np.flatnonzero(np.diff(unit[order], prepend=unit[order[0]] - 1 if len(order) else 0))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for s, e in zip(starts, np.append(starts[1:], len(order)), strict=True):
+        rows = order[s:e]
+        k = int(band[rows[0]])
+        if across:
+            left, right = rows[side[rows] == side[rows].min()], rows[side[rows] == side[rows].max()]
+        for n, i in enumerate(left if across else rows):
+            other = right if across else rows[n + 1 :]
+            same = h[other] == h[i]
+            keep = same.any(axis=1) if k < 0 else ~same[:, :k].any(axis=1)
+            if keep.any():
+                found.append((np.full(int(keep.sum()), i), other[keep]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(a, kind="stable")
+    return a[order], b[order]
+
+
+def units(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(node, unit, band, parts): the clusters or buckets in which each node is compared.
+
+    members(node, key, band) and buckets(key, n, rep) are those of two nodes or more.
+    """
+    with_rep = members.join(buckets.select("key", "rep"), "key")
+    clusters = materialise(components(with_rep.select(F.col("node").alias("a"), F.col("rep").alias("b"))), "clusters")
+    tiles = lambda n: F.ceil(n / F.lit(TILE)).cast("long")
+    size = clusters.groupBy("component").agg(F.count("*").alias("m"))
+    cost = buckets.join(clusters, buckets.rep == clusters.node).groupBy("component").agg(F.sum(F.col("n") * tiles(F.col("n"))).alias("cost"))
+    mode = size.join(cost, "component").select("component", tiles(F.col("m")).alias("parts"), ((F.col("m") > TILE) & (F.col("cost") < F.col("m") * tiles(F.col("m")))).alias("split"))
+    placed = materialise(clusters.join(mode, "component").select("node", "component", "parts", "split"), "placed")
+    whole = placed.where("NOT split").select("node", F.col("component").alias("unit"), F.lit(-1).alias("band"), "parts")
+    single = members.join(placed.where("split").select("node"), "node", "left_semi").join(buckets.select("key", tiles(F.col("n")).alias("parts")), "key")
+    return whole.union(single.select("node", F.col("key").alias("unit"), "band", "parts"))
+
+
 def near_copies(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999) -> DataFrame:
     """One row per document: doc_id, n_links, class_id (smallest doc_id reachable by links), kept."""
     bands, rows = choose_bands(threshold, recall)
-    full = materialise(sketches(docs, k, bands, rows, True), "sketches")
-    nodes = full.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("weight"))
+    full = materialise(sketches(docs, k, bands, rows), "sketches")
+    wordy = full.where("node IS NOT NULL")
+    alone = full.where("node IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    nodes = materialise(wordy.groupBy("node").agg(F.count("*").alias("weight"), F.min("doc_id").alias("first"), F.any_value("bands").alias("bands")), "nodes")
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
             n = batch.num_rows
-            yield pa.RecordBatch.from_pydict({"node": np.repeat(batch.column(0).to_numpy(), bands), "band": np.tile(np.arange(bands, dtype=np.int32), n), "hash": h})
-
-    light = full.where("node IS NOT NULL").select("node", "bands").mapInArrow(unfold, "node long, band int, hash long").distinct()
-    # A bucket is known by count and sums of its members; those of no more members than one, or of an earlier band, go.
-    described = light.groupBy("band", "hash").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    unique = described.where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("band", "hash")).alias("at")).select("n", "at.*")
-    unique = unique.withColumn("parts", F.ceil(F.col("n") / TILE).cast("int"))
-    members = materialise(light.join(unique, ["band", "hash"]), "members")
+            h = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8")
+            band = np.tile(np.arange(bands, dtype=np.int32), n)
+            yield pa.RecordBatch.from_pydict({"node": np.repeat(batch.column(0).to_numpy(), bands), "band": band, "key": mix(h + band.astype(U64)).view(np.int64)})
+
+    light = nodes.select("node", "bands").mapInArrow(unfold, "node long, band int, key long")
+    buckets = materialise(light.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("rep")).where("n > 1"), "buckets")
+    members = materialise(light.join(buckets.select("key"), "key", "left_semi"), "members")
+    where = materialise(units(members, buckets), "units")
+    sets = wordy.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("grams").alias("grams"))
+    sets = materialise(sets.join(nodes.select("node", "weight", "bands"), "node"), "sets")
+    groups = where.where("parts = 1").count() // GROUP + 1
     part = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    tiles = members.withColumn("part", part).withColumn("other", other).select("node", "band", "hash", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    sets = full.where("node IS NOT NULL").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.count("*").alias("weight"), F.any_value("bands").alias("bands"), F.any_value("grams").alias("grams"))
-    sent = tiles.join(materialise(sets, "sets"), "node")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))
+    tiles = where.withColumn("part", part).withColumn("other", other)
+    # Small units share a group; a tile of a large one is a group of its own.
+    group = F.when(F.col("parts") > 1, F.col("unit")).otherwise(F.pmod(F.xxhash64("unit"), F.lit(groups)))
+    tiles = tiles.select("node", "unit", "band", "part", (F.col("parts") > 1).alias("tiled"), group.alias("cell"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
 
     def compare(group: pa.Table) -> pa.Table:
-        node, side = group["node"].to_numpy(), group["part"].to_numpy()
-        lo, hi, band = (group[c][0].as_py() for c in ("lo", "hi", "band"))
+        node = group["node"].to_numpy()
         h = np.frombuffer(b"".join(group["bands"].to_pylist()), "<u8").reshape(len(node), bands)
-        grams = [read_grams(x) for x in group["grams"].to_pylist()]
-        weight = group["weight"].to_numpy().astype(np.float64)
-        found_a, found_b = [], []
-        for i in range(len(node)):
-            later = np.arange(i + 1, len(node)) if lo == hi else np.flatnonzero(side == hi) if side[i] == lo else np.zeros(0, int)
-            if len(later) and band:
-                later = later[~(h[later, :band] == h[i, :band]).any(axis=1)]
-            found_a.append(np.full(len(later), i))
-            found_b.append(later)
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        across = group["lo"][0].as_py() != group["hi"][0].as_py()
+        a, b = candidates(group["unit"].to_numpy(), group["part"].to_numpy(), group["band"].to_numpy(), h, across)
         if len(a):
-            good = similar_pairs(grams, a, b, threshold)
+            good = similar_pairs([read_grams(x) for x in group["grams"].to_pylist()], a, b, threshold)
             a, b = a[good], b[good]
-        return pa.Table.from_batches([tally(node, weight, a, b)])
+        return pa.Table.from_batches([tally(node, group["weight"].to_numpy().astype(np.float64), a, b)])
 
-    tallies = materialise(sent.groupBy("band", "hash", "lo", "hi").applyInArrow(compare, "node long, links long, parent long"), "tallies")
+    tallies = materialise(tiles.join(sets, "node").groupBy("tiled", "cell", "lo", "hi").applyInArrow(compare, TALLY), "tallies")
+    free(docs.sparkSession, members, buckets, where, sets)
     counted = tallies.groupBy("node").agg(F.sum("links").alias("links"))
     grouped = components(tallies.select(F.col("node").alias("a"), F.col("parent").alias("b")))
-    about = nodes.join(counted, "node", "left").join(grouped, "node", "left")
-    about = about.select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    placed = full.select("doc_id", "node").join(about, "node", "left")
-    first = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("first"))
-    done = placed.join(first, "component", "left")
-    lone = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("first"))
-    return done.select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), lone.alias("class_id"), F.coalesce(F.col("doc_id") == lone, F.lit(True)).alias("kept"))
+    about = nodes.select("node", "weight", "first").join(counted, "node", "left").join(grouped, "node", "left")
+    about = about.select("node", "first", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    # Only members of classes of two nodes or more meet in the aggregate.
+    smallest = about.join(grouped.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("first").alias("class_id"))
+    about = about.join(smallest, "component", "left").select("node", "n_links", F.coalesce("class_id", "first").alias("class_id"))
+    placed = wordy.select("doc_id", "node").join(about, "node")
+    return placed.select("doc_id", "n_links", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")).union(alone)
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999) -> DataFrame:
     """The documents with all their columns, one of each class: that of least doc_id, then text hash."""
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    classes = near_copies(rows.select(F.col("__row").alias("doc_id"), "text"), threshold, k, recall).select(F.col("doc_id").alias("__row"), F.col("class_id").alias("__class"))
-    first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.col("__row").alias("r"))
-    stay = rows.select("__row", first.alias("__first")).join(classes, "__row").groupBy("__class").agg(F.min("__first").alias("f")).select(F.col("f.r").alias("__row"))
-    return rows.join(stay, "__row", "left_semi").select(*docs.columns)
+    row = fresh(docs, "row")
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.col(row).alias("r"))
+    classes = near_copies(rows.select(F.col(row).alias("doc_id"), "text"), threshold, k, recall).select(F.col("doc_id").alias("r"), "class_id")
+    stay = rows.select(first.alias("f")).join(classes, F.col("f.r") == classes.r).groupBy("class_id").agg(F.min("f").alias("f")).select(F.col("f.r").alias(row))
+    return rows.join(stay, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

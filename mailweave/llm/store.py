@@ -30,24 +30,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files that survive executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
+def written(df: DataFrame, name: str, codec: str = "zstd") -> str:
+    """Write ``df`` to a folder of its own in the shared folder; returns its path."""
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
-def drop_paths(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files behind intermediate tables that nothing will read again."""
-    jvm = spark.sparkContext._jvm
-    for df in frames:
-        for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends at files that survive executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name, codec))
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's context cleaner remove shuffle files of plans that are no longer referenced."""
+def free(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the files of written tables that nothing will read again, and let Spark clear shuffles no plan refers to."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for df in frames:
+        for folder in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm.System.gc()

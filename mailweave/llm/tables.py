@@ -13,3 +13,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A 64-bit key of a row's id and text: rows that share it are repetitions and get the same answer."""
     return F.xxhash64(F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).isNull(), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,37 +1,40 @@
 """Operator 9, embedding near-duplicates: int8 tile products with per-vector error bounds.
 
-Vectors are dealt to the cells of a bounded set of pivots and cells are split
-into tiles, so that a tile's vectors lie around a centre. Two tiles are compared
-only if their centres and radii allow a pair within the angle (triangle
-inequality, so nothing is lost). A comparison multiplies int8 codes; every
-vector carries the exact norm of what its code leaves out, which bounds the
-product's error. Only pairs whose upper bound reaches the threshold and whose
-lower bound does not exceed it are recomputed in double precision.
-
-Tiles send link counts and a spanning forest of their links, never the links.
+Distinct vectors are quantised to int8 once; every vector carries its scale, the
+exact norm of what its code leaves out, and its components. They are dealt to
+blocks of bounded size by a hash and written. Block by block, a block is broadcast
+(``BLOCK_BYTES`` at most, whatever the corpus) and all blocks not before it are
+scanned where they lie: tiles of codes are multiplied, and as the norms of what
+two codes leave out bound the product's error, only pairs whose upper bound reaches
+the threshold and whose lower bound does not exceed it are recomputed in double
+precision. Nothing is shuffled for the comparison, and all executors share each
+block's scan; the work is that of all tiles, so it grows with the square of the rows.
+
+Tasks send link counts and a spanning forest of their links, never the links.
 Equal vectors (all components the same) are compared once and counted with
 their number. Null or zero vectors, and vectors with null or non-finite
 components, link with nothing; vectors of different lengths do not link.
-Repeated rows each get a row and count as links of one another.
+Repeated rows each get a row and count as links of one another. A null vec_id is
+kept only where no row of its component has an id. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailweave.llm.components import components, local_roots
-from mailweave.llm.store import materialise
+from mailweave.llm.store import materialise, written
 
-#: Pivots, and tiles at most: they bound what is broadcast, at any input size.
-PIVOTS, MOST_TILES = 256, 4096
-#: Vectors per tile aimed at, and rows of a tile that are multiplied at a time.
-TILE, STRIP = 2048, 512
+#: Bytes of a block: they bound what is broadcast and what a worker holds.
+BLOCK_BYTES = 4 << 20
+#: Rows of a tile that are multiplied with a block at a time.
+STRIP = 512
 #: Allowance for rounding in double precision.
 ROUNDING = 1e-9
 
@@ -46,32 +49,52 @@ def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows divided by their norms, safe for very small and large components."""
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def links_between(ux: np.ndarray, uy: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of unit vectors with cosine at least ``threshold``; if ``same``, those with i < j."""
-    qx, sx, ex = quantise(ux)
-    qy, sy, ey = quantise(uy)
-    right = qy.astype(np.float32).T.copy()  # products of codes are whole numbers that float32 holds exactly
-    exact = ux.shape[1] * 127 * 127 < 1 << 24
-    found = []
-    for i in range(0, len(ux), STRIP):
-        left = qx[i : i + STRIP]
-        dots = left.astype(np.float32) @ right if exact else (left.astype(np.float64) @ right.astype(np.float64))
-        near = dots * (sx[i : i + STRIP, None] * sy[None, :]).astype(np.float64)
-        error = ex[i : i + STRIP, None] + (1 + ex[i : i + STRIP, None]) * ey[None, :] + ROUNDING
-        a, b = np.nonzero(near + error >= threshold)
-        if same:
-            upper = a + i < b
-            a, b = a[upper], b[upper]
-        sure = near[a, b] - error[a, b] > threshold
+class Tile:
+    """Some quantised vectors: names, numbers of copies, codes, scales, bounds, and the vectors themselves."""
+
+    def __init__(self, table: pa.Table | pa.RecordBatch, d: int):
+        raw = lambda c: b"".join(table.column(c).to_pylist())
+        self.node, self.block = table.column("node").to_numpy(), table.column("block").to_numpy()
+        self.weight = table.column("weight").to_numpy().astype(np.float64)
+        n = len(self.node)
+        self.code = np.frombuffer(raw("code"), np.int8).reshape(n, d)
+        self.scale, self.left = table.column("scale").to_numpy(), table.column("rest").to_numpy()
+        x = raw("x")
+        self.x = np.frombuffer(x, "<f8" if len(x) == 8 * n * d else "<f4").reshape(n, d)
+
+    def decoded(self, i: int = 0, j: int | None = None) -> np.ndarray:
+        return self.code[i:j].astype(np.float32) * self.scale[i:j, None].astype(np.float32)
+
+
+def links_between(x: Tile, y: Tile, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of x and y with cosine at least ``threshold``; ``right`` holds y's decoded codes, transposed."""
+    # Codes times scales are rounded to single precision, and so are products and sums.
+    rounding = (x.code.shape[1] + 4) * 2.0**-23 + ROUNDING
+    most = float(y.left.max())
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i in range(0, len(x.node), STRIP):
+        near = x.decoded(i, i + STRIP) @ right
+        own = x.left[i : i + STRIP]
+        # No pair of the strip is off by more than this, so the rest is sorted out without a pass of its own.
+        worst = float(own.max()) * (1 + most) + most + rounding
+        at = np.flatnonzero(near >= np.float32(threshold - worst - 1e-6))
+        a, b = at // near.shape[1], at % near.shape[1]
+        once = (x.block[a + i] != y.block[b]) | (x.node[a + i] < y.node[b])
+        a, b = a[once], b[once]
+        value = near[a, b].astype(np.float64)
+        error = own[a] + (1 + own[a]) * y.left[b] + rounding
+        maybe = value + error >= threshold
+        a, b, sure = a[maybe], b[maybe], (value - error > threshold)[maybe]
         for j in range(0, len(a), 1 << 16):
             part = np.flatnonzero(~sure[j : j + (1 << 16)]) + j
-            sure[part] = np.einsum("ij,ij->i", ux[a[part] + i], uy[b[part]]) >= threshold
+            sure[part] = np.einsum("ij,ij->i", unit(x.x[a[part] + i]), unit(y.x[b[part]])) >= threshold if len(part) else False
         found.append((a[sure] + i, b[sure]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True))
 
 
 TALLY = "node long, links long, parent long"
@@ -80,7 +103,10 @@ TALLY = "node long, links long, parent long"
 def tally(node: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """Weighted link counts and a spanning forest of the links (a[i], b[i]) between rows of ``node``."""
     links = np.bincount(a, weight[b], len(node)) + np.bincount(b, weight[a], len(node))
-    root = local_roots(len(node), a, b)
+    return tallied(node, links, local_roots(len(node), a, b))
+
+
+def tallied(node: np.ndarray, links: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
     hit = np.flatnonzero(links)
     return pa.RecordBatch.from_pydict({"node": node[hit], "links": links[hit].astype(np.int64), "parent": node[root[hit]]})
 
@@ -89,98 +115,79 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     """One row per vector: vec_id, n_links, component_id, kept."""
     vec = F.col(vector_col)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    fine = vec.isNotNull() & ~F.exists(vec, bad) & F.exists(vec, lambda x: x != 0)
-    ids = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(fine, F.lit(False)), vec).alias("v"))
-    ids = ids.withColumn("node", F.xxhash64(F.when(F.col("v").isNotNull(), F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double"))))))
-    ids = ids.withColumn("node", F.when(F.col("v").isNotNull(), F.col("node")))
-    distinct = materialise(ids.where("v IS NOT NULL").groupBy("node").agg(F.count("*").alias("weight"), F.any_value("v").alias("v")), "vectors")
+    fine = F.coalesce(vec.isNotNull() & ~F.exists(vec, bad) & F.exists(vec, lambda x: x != 0), F.lit(False))
+    ids = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fine, vec).alias("v"))
+    alone = ids.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    named = ids.where("v IS NOT NULL").withColumn("node", F.xxhash64(F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double")))))
+    distinct = materialise(named.groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"), F.any_value("v").alias("v")), "vectors")
     stats = distinct.groupBy(F.size("v").alias("d")).count().collect()  # one row per vector length
-    tallies = [t for r in stats if (t := _tally_all(distinct.where(F.size("v") == r["d"]), r["d"], r["count"], threshold)) is not None]
-    members = distinct.select("node", (F.col("weight") - 1).alias("own"))
-    if tallies:
-        all_tallies = tallies[0]
-        for t in tallies[1:]:
-            all_tallies = all_tallies.union(t)
-        all_tallies = materialise(all_tallies, "tallies")
-        counted = all_tallies.groupBy("node").agg(F.sum("links").alias("links"))
-        grouped = components(all_tallies.select(F.col("node").alias("a"), F.col("parent").alias("b")))
+    paths = [p for r in stats if r["count"] > 1 for p in _tallies(distinct.where(F.size("v") == r["d"]), r["d"], r["count"], threshold)]
+    members = distinct.select("node", "first", (F.col("weight") - 1).alias("own"))
+    if paths:
+        found = rows.sparkSession.read.schema(TALLY).parquet(*paths)
+        counted = found.groupBy("node").agg(F.sum("links").alias("links"))
+        grouped = components(found.select(F.col("node").alias("a"), F.col("parent").alias("b")))
         members = members.join(counted, "node", "left").join(grouped, "node", "left")
-        members = members.select("node", (F.col("own") + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+        members = members.select("node", "first", (F.col("own") + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+        # Only members of components of two or more meet in the aggregate.
+        smallest = members.where("component <> node OR n_links > 0").groupBy("component").agg(F.min("first").alias("component_id"))
+        members = members.join(smallest, "component", "left").select("node", "n_links", F.coalesce("component_id", "first").alias("component_id"))
     else:
-        members = members.select("node", F.col("own").alias("n_links"), F.col("node").alias("component"))
-    placed = ids.select("vec_id", "node").join(members, "node", "left")
-    smallest = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("vec_id").alias("first"))
-    done = placed.join(smallest, "component", "left")
-    lone = F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("first"))
-    return done.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), lone.alias("component_id"), (F.coalesce(F.col("vec_id") == lone, F.lit(True))).alias("kept"))
+        members = members.select("node", F.col("own").alias("n_links"), F.col("first").alias("component_id"))
+    placed = named.select("vec_id", "node").join(members, "node")
+    return placed.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")).union(alone)
 
 
-def _tally_all(distinct: DataFrame, d: int, n: int, threshold: float) -> DataFrame | None:
+def _tallies(distinct: DataFrame, d: int, n: int, threshold: float) -> list[str]:
+    """Compare all vectors of one length; returns the paths of the tables of tallies, one per block."""
     spark = distinct.sparkSession
-    tile = max(TILE, -(-n // (MOST_TILES // 2)))
-    pivots = None
-    if n > tile:
-        sample = distinct.orderBy(F.xxhash64("node", F.lit(1))).limit(PIVOTS).select("v").collect()
-        pivots = unit(np.array([r["v"] for r in sample], np.float64))
-    angle = math.acos(max(-1.0, min(1.0, threshold)))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The pivot cell of each vector: the nearest pivot, as far as its tile goes only a matter of speed."""
+    blocks = -(-n * (13 * d + 40) // BLOCK_BYTES) if distinct.schema["v"].dataType.elementType.simpleString() == "double" else -(-n * (9 * d + 40) // BLOCK_BYTES)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(2).flatten().to_numpy().reshape(-1, d).astype(np.float64)
-            cell = np.argmax(unit(x) @ pivots.T, axis=1) if pivots is not None else np.zeros(len(x), int)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], ["node", "weight", "v", "cell"])
-
-    kind = distinct.schema["v"].dataType.simpleString()
-    dealt = distinct.select("node", "weight", "v").mapInArrow(deal, f"node long, weight long, v {kind}, cell int")
-    if pivots is None:
-        keyed = dealt.withColumn("tile", F.lit(0))
-    else:
-        sizes = {r["cell"]: r["count"] for r in dealt.groupBy("cell").count().collect()}  # at most PIVOTS rows
-        keyed, base, spec = dealt, 0, []
-        # Small cells share a tile with no others; large ones are split by hash.
-        for cell in sorted(sizes):
-            parts = -(-sizes[cell] // tile)
-            spec.append((cell, base, parts))
-            base += parts
-        table = F.broadcast(spark.createDataFrame(spec, "cell int, base int, parts int"))
-        keyed = dealt.join(table, "cell").withColumn("tile", F.col("base") + F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
-
-    def build(group: pa.Table) -> pa.Table:
-        x = group["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)
-        u = unit(x.astype(np.float64))
-        centre = u.sum(axis=0)
-        length = np.linalg.norm(centre)
-        centre = centre / length if length > 1e-9 else u[0]
-        radius = float(np.arccos(np.clip(u @ centre, -1, 1)).max()) + 1e-6
-        blob = x.astype(x.dtype.newbyteorder("<")).tobytes()
-        return pa.table({"tile": pa.array([group["tile"][0].as_py()], pa.int32()), "nodes": [group["node"].to_numpy().astype("<i8").tobytes()], "weights": [group["weight"].to_numpy().astype("<i8").tobytes()], "x": [blob], "double": [x.dtype == np.float64], "centre": [centre.tolist()], "radius": [radius]})
-
-    payload = "tile int, nodes binary, weights binary, x binary, double boolean"
-    tiles = materialise(keyed.select("tile", "node", "weight", "v").groupBy("tile").applyInArrow(build, payload + ", centre array<double>, radius double"), "tiles")
-    about = tiles.select("tile", "centre", "radius").collect()  # at most MOST_TILES rows
-    if not about:
-        return None
-    number = [r["tile"] for r in about]
-    centres, radii = np.array([r["centre"] for r in about]), np.array([r["radius"] for r in about])
-    apart = np.arccos(np.clip(centres @ centres.T, -1, 1))
-    near = np.argwhere(np.triu(apart <= radii[:, None] + radii[None, :] + angle + 1e-6))
-    # At most MOST_TILES ** 2 / 2 pairs of numbers; each tile goes to its partners.
-    pairs = spark.createDataFrame([(int(number[i]), int(number[j]), k) for k, (i, j) in enumerate(near.tolist())], "i int, j int, pair int")
-    ends = pairs.select("pair", F.explode(F.array(F.struct(F.col("i").alias("tile"), F.lit(0).alias("side")), F.struct(F.col("j").alias("tile"), F.lit(1).alias("side")))).alias("e"), (F.col("i") == F.col("j")).alias("same"))
-    ends = ends.where("NOT same OR e.side = 0").select("pair", "same", "e.tile", "e.side")
-    sent = tiles.select("tile", "nodes", "weights", "x", "double").join(ends, "tile")
-
-    def compare(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["side"])
-        nodes = [np.frombuffer(r["nodes"], "<i8") for r in rows]
-        weights = [np.frombuffer(r["weights"], "<i8").astype(np.float64) for r in rows]
-        units = [unit(np.frombuffer(r["x"], "<f8" if r["double"] else "<f4").reshape(-1, d).astype(np.float64)) for r in rows]
-        if rows[0]["same"]:
-            a, b = links_between(units[0], units[0], threshold, True)
-        else:
-            a, b = links_between(units[0], units[1], threshold, False)
-            b = b + len(nodes[0])
-        return pa.Table.from_batches([tally(np.concatenate(nodes), np.concatenate(weights), a, b)])
-
-    return sent.groupBy("pair").applyInArrow(compare, TALLY)
+            if not batch.num_rows:
+                continue
+            x = batch.column(2).flatten().to_numpy().reshape(-1, d)
+            q, scale, left = quantise(unit(x))
+            x = np.ascontiguousarray(x.astype(x.dtype.newbyteorder("<")))
+            columns = [[r.tobytes() for r in q], scale, left, [r.tobytes() for r in x]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), *map(pa.array, columns)], ["node", "weight", "block", "code", "scale", "rest", "x"])
+
+    # Hashes deal vectors evenly, so a block has few rows more than its share.
+    block = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(blocks)).cast("int").alias("block")
+    coded = distinct.select("node", "weight", "v", block).mapInArrow(code, "node long, weight long, block int, code binary, scale double, rest double, x binary")
+    parts = max(blocks, 2 * spark.sparkContext.defaultParallelism)
+    coded = materialise(coded.repartitionByRange(parts, "block", "node").sortWithinPartitions("block", "node"), "coded")
+    paths = []
+    for b in range(blocks):
+        sent = spark.sparkContext.broadcast(Tile(coded.where(F.col("block") == b).toArrow(), d))
+
+        paths.append(written(coded.where(F.col("block") >= b).mapInArrow(comparison(sent, d, threshold), TALLY), "tallies"))
+        sent.unpersist()
+    return paths
+
+
+def comparison(sent: Broadcast, d: int, threshold: float):
+    """What a task does with its tiles: tallies of their links with the block that was sent."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y = sent.value
+        n = len(y.node)
+        if not n:
+            return
+        right = y.decoded().T.copy()
+        links, root = np.zeros(n), np.arange(n)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = Tile(batch, d)
+            a, b = links_between(x, y, right, threshold)
+            links += np.bincount(b, x.weight[a], n)
+            # Numbers of the block come first, and roots are smallest numbers, so roots of the block stay in it.
+            both = local_roots(n + len(x.node), np.concatenate((np.arange(n), a + n)), np.concatenate((root, b)))
+            root = both[:n]
+            own = np.concatenate((np.zeros(n), np.bincount(a, y.weight[b], len(x.node))))
+            yield tallied(np.concatenate((y.node, x.node)), own, both)
+        yield tallied(y.node, links, root)
+
+    return compare
