@@ -202,7 +202,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: flo
         return pa.Table.from_batches([tally(node, group["weight"].to_numpy().astype(np.float64), a, b)])
 
     tallies = materialise(tiles.join(sets, "node").groupBy("tiled", "cell", "lo", "hi").applyInArrow(compare, TALLY), "tallies")
-    free(docs.sparkSession, members, buckets, where, sets)
+    free(members, buckets, where, sets)
     counted = tallies.groupBy("node").agg(F.sum("links").alias("links"))
     grouped = components(tallies.select(F.col("node").alias("a"), F.col("parent").alias("b")))
     about = nodes.select("node", "weight", "first").join(counted, "node", "left").join(grouped, "node", "left")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -30,10 +29,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Spark removes the shuffle files of a query when it ends, if this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> str:
-    """Write ``df`` to a folder of its own in the shared folder; returns its path."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    """Write ``df`` to a folder of its own in the shared folder and give its shuffles' disk back; returns the path."""
+    conf, path = df.sparkSession.conf, scratch(df.sparkSession, name)
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return path
 
 
@@ -42,12 +50,10 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(written(df, name, codec))
 
 
-def free(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files of written tables that nothing will read again, and let Spark clear shuffles no plan refers to."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+def free(*frames: DataFrame) -> None:
+    """Delete the files of written tables that nothing will read again."""
     for df in frames:
+        context = df.sparkSession.sparkContext
         for folder in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
