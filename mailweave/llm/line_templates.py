@@ -1,96 +1,164 @@
 """Operator 2, line dedup by a tree of line templates.
 
 Lines (split at \\n) with a word are parsed by a tree of fixed depth: number of
-words, then the leading ``depth`` words, where words that hold digits, an @ or ://
-count as variable. In each leaf the line form of most documents is the
-representative; forms that agree with it in ``similarity`` of their words join
-its template (the others vary), any other form is a template of its own. A
-template recurs if it stands in ``min_docs`` different texts and between as many
-different pairs of neighbour lines. Lines of recurring templates are dropped
-everywhere. The second condition leaves copies of whole documents to the
-near-duplicate operators: their lines recur, but always in the same place.
-
-All counts are partial aggregates; a leaf is never gathered. Only hashes of lines
-are stored and counted; the words of forms are read again from the texts, for busy
-leaves alone, which a broadcast set of at most ``BUCKETS`` leaf buckets picks out
-before an exact join. Whole texts are shuffled once, to meet their verdict. A null text stays
-null, a text without recurring lines stays as it is, a text of recurring lines
-only becomes empty. Equal texts count once and get the same answer. Other
-columns are kept.
+words, then the leading ``depth`` words, where words that hold a digit, an @ or ://
+count as variable. Forms of a leaf that agree in ``similarity`` of their words share
+all words of one of a few segments, so each form is compared with the form of most
+documents of each of its segments, and takes the one of most documents that it
+agrees with as its template; a leaf may have any number of templates.
+
+A template recurs if ``min_docs`` different texts support it. A text supports the
+templates of its lines only if lines of templates found in ``min_docs`` texts make up
+at most ``most_share`` of its words: near copies of one document have nearly all
+lines in common, so they support none, and are left to the near-duplicate operators.
+So a template found only in texts that are mostly such lines stays. Lines of
+recurring templates are dropped everywhere, in copies too.
+
+Texts are parsed once; masked lines are written and all counts are partial
+aggregates; a leaf is never gathered, and joins on a frequent line or text have one
+row for it on the other side, so its rows can be split (AQE skew join). Whole texts
+are shuffled once, to meet their verdict. Words are runs outside ``\\x20 \\x09-\\x0D``.
+A null text stays null, a text without recurring lines stays as it is, a text of
+recurring lines only becomes empty. Equal texts count once and get the same answer.
+Ties for the form of most documents go to the largest hash. All columns are kept,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailweave.llm.store import materialise
+from mailweave.llm.tables import fresh
+from mailweave.llm.text import as_bytes
+
+DEPTH, SIMILARITY, MIN_DOCS, MOST_SHARE = 3, 0.8, 5, 0.7
+_VARIABLE = re.compile(rb"[0-9@]|://")
+
 
-DEPTH, SIMILARITY, MIN_DOCS = 3, 0.8, 5
-BUCKETS = 1 << 18
-#: Linear in the length of a word: it starts where a word starts and never goes back.
-_VARIABLE = r"(?<!\S)(?:(?!://)[^\s0-9@])*+(?:[0-9@]|://)\S*"
+def masked_lines(text: bytes) -> list[tuple[int, int, bytes]]:
+    """(place, number of words, words with variable ones masked) of every line with a word."""
+    out = []
+    for pos, line in enumerate(text.split(b"\n")):
+        words = line.split()
+        if words:
+            if _VARIABLE.search(line):
+                words = [b"<*>" if _VARIABLE.search(w) else w for w in words]
+            out.append((pos, len(words), b" ".join(words)))
+    return out
 
 
 def line_table(texts: DataFrame, depth: int) -> DataFrame:
-    """(key, pos, leaf, form, context, masked) of every line with a word."""
-    # The replacements are dear, so lines that cannot change are found by a plain search first.
-    varied = lambda x: F.when(x.rlike("[0-9@]|://"), F.regexp_replace(x, _VARIABLE, "<*>")).otherwise(x)
-    spaced = lambda x: F.when(x.rlike("[\\t\\x0B\\f\\r]|  "), F.regexp_replace(x, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(x)
-    masked = lambda x: F.trim(spaced(varied(x)))
-    around = lambda i: F.xxhash64(F.get("lines", i - 1), F.lit("\n"), F.get("lines", i + 1))
-    each = F.transform("lines", lambda x, i: F.struct(masked(x).alias("masked"), around(i).alias("context")))
-    # The outer form keeps the optimiser from evaluating the array once more as a filter.
-    rows = texts.select("key", F.split("text", "\n").alias("lines")).select("key", F.posexplode_outer(each).alias("pos", "e"))
-    rows = rows.select("key", "pos", "e.context", "e.masked").where("masked <> ''")
-    n_words = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    return rows.withColumn("leaf", F.xxhash64(n_words, F.substring_index("masked", " ", depth))).withColumn("form", F.xxhash64("masked"))
-
-
-def recurring_lines(texts: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(key, total, pos, n, leaf, form, masked) of every line with a word; total: the words of its text."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
+            rows: list[tuple] = []
+            size = 0
+            for key, text in zip(keys, texts, strict=True):
+                lines = masked_lines(text)
+                total = sum(n for _, n, _ in lines)
+                rows += [(key, total, *line) for line in lines]
+                size += len(text)
+                if size > 4 << 20:
+                    yield made(rows)
+                    rows, size = [], 0
+            yield made(rows)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays[:4], arrays[4].cast(pa.string())], ["key", "total", "pos", "n", "masked"])
+
+    rows = texts.select("key", "text").mapInArrow(parse, "key long, total long, pos int, n int, masked string")
+    return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", depth))).withColumn("form", F.xxhash64("masked"))
+
+
+def templates(forms: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(leaf, form, template) of forms(leaf, form, n, masked, docs)."""
+    allowed = F.floor((1 - similarity) * F.col("n") + F.lit(1e-9)).cast("int")
+    # With so many words different at most, one of the segments (every (allowed + 1)-th word) is the same.
+    segment = lambda s: F.xxhash64("leaf", s, F.array_join(F.filter("words", lambda w, i: (i >= depth) & (i % (allowed + 1) == s)), " "))
+    split = forms.withColumn("words", F.split("masked", " "))
+    parts = split.select("leaf", "form", "docs", "words", F.explode(F.transform(F.sequence(F.lit(0), allowed), segment)).alias("segment"))
+    first = parts.groupBy("segment").agg(F.max(F.struct("docs", "form")).alias("best")).select("segment", "best")
+    pairs = parts.join(first, "segment").select("leaf", "form", "words", "best.docs", F.col("best.form").alias("head")).distinct()
+    heads = split.select(F.col("leaf"), F.col("form").alias("head"), F.col("words").alias("other"))
+    same = F.aggregate(F.zip_with("words", "other", lambda x, y: x == y), F.lit(0), lambda k, x: k + x.cast("int"))
+    agree = pairs.join(heads, ["leaf", "head"]).where(same >= F.size("words") - F.floor((1 - similarity) * F.size("words") + F.lit(1e-9)))
+    chosen = materialise(agree.groupBy("leaf", "form").agg(F.max(F.struct("docs", "head")).alias("best")).select("leaf", "form", F.col("best.head").alias("head")), "chosen")
+    # A template may itself have been put under a more common one.
+    above = chosen.select("leaf", F.col("form").alias("head"), F.col("head").alias("top"))
+    return forms.select("leaf", "form").join(chosen, ["leaf", "form"], "left").join(above, ["leaf", "head"], "left").select("leaf", "form", F.coalesce("top", "head", "form").alias("template"))
+
+
+def recurring_lines(texts: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, most_share: float = MOST_SHARE) -> DataFrame:
     """(key, drop): places of the lines to drop in texts(key, text); equal texts share a key and count once."""
-    parsed = line_table(texts, depth)
-    lines = materialise(parsed.select("key", "pos", "leaf", "form", "context"), "lines")
-    busy = lines.select("leaf", "key").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    busy = materialise(busy, "busy")
-    held = materialise(lines.join(busy, "leaf", "left_semi").distinct(), "held")
-    counted = held.select("leaf", "form", "key").distinct().groupBy("leaf", "form").agg(F.count("*").alias("docs"))
-    bucket = F.pmod("leaf", F.lit(BUCKETS)).alias("bucket")
-    some = parsed.select("leaf", "form", "masked", bucket).join(F.broadcast(busy.select(bucket).distinct()), "bucket", "left_semi")
-    some = some.groupBy("leaf", "form").agg(F.any_value("masked").alias("masked"))
-    forms = materialise(some.join(counted, ["leaf", "form"]), "forms")
-    best = forms.groupBy("leaf").agg(F.max_by(F.struct("masked", "form"), F.struct("docs", "form")).alias("best"))
-    a, b = F.split("masked", " "), F.split("best.masked", " ")
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(0), lambda n, x: n + x.cast("int"))
-    joined = forms.join(best, "leaf").select("leaf", "form", F.when((same >= F.lit(similarity) * F.size(a)) & (F.size(a) == F.size(b)), F.col("best.form")).otherwise(F.col("form")).alias("template"))
-    seen = materialise(held.select("key", "pos", "leaf", "form", "context").join(joined, ["leaf", "form"]).select("key", "pos", "leaf", "template", "context"), "seen")
-    in_docs = seen.select("leaf", "template", "key").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    in_places = seen.select("leaf", "template", "context").distinct().groupBy("leaf", "template").agg(F.count("*").alias("places")).where(F.col("places") >= min_docs)
-    recurring = in_docs.join(in_places, ["leaf", "template"]).select("leaf", "template")
-    return seen.join(recurring, ["leaf", "template"], "left_semi").groupBy("key").agg(F.collect_set("pos").alias("drop"))
-
-
-def _judged(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    texts = keyed.where("text IS NOT NULL").select(F.col("__key").alias("key"), "text")
-    drop = recurring_lines(texts, **how).select(F.col("key").alias("__key"), F.col("drop").alias("__drop"))
-    return keyed, drop
-
-
-def _kept_text():
-    keep = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__drop", i))
-    return F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
+    lines = materialise(line_table(texts, depth), "lines")
+    counted = materialise(lines.select("leaf", "form", "n", "key").distinct().groupBy("leaf", "form", "n").agg(F.count("*").alias("docs")), "counted")
+    # Texts with two forms of a leaf count twice here, so no leaf with enough texts is missed.
+    busy = materialise(counted.groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"), "busy")
+    held = lines.join(busy, "leaf", "left_semi")
+    forms = held.groupBy("leaf", "form").agg(F.any_value("masked").alias("masked")).join(counted, ["leaf", "form"])
+    named = templates(materialise(forms, "forms"), depth, similarity)
+    seen = materialise(held.select("key", "total", "pos", "n", "leaf", "form").distinct().join(named, ["leaf", "form"]).select("key", "total", "pos", "n", "template"), "seen")
+    common = seen.select("template", "key").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("template")
+    common = materialise(seen.join(common, "template", "left_semi"), "common")
+    other = common.groupBy("key", "total").agg(F.sum("n").alias("words")).where(F.col("words") <= F.lit(most_share) * F.col("total")).select("key")
+    support = common.select("template", "key").distinct().join(other, "key", "left_semi").groupBy("template").agg(F.count("*").alias("docs"))
+    recurring = support.where(F.col("docs") >= min_docs).select("template")
+    return common.join(recurring, "template", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("drop"))
+
+
+def _judged(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame, str]:
+    """The documents with a text and the places to drop, those without, and the name of the column of places."""
+    key, drop = fresh(docs, "line_key"), fresh(docs, "line_drop")
+    texts = docs.where("text IS NOT NULL").withColumn(key, F.xxhash64("text"))
+    found = recurring_lines(texts.select(F.col(key).alias("key"), "text"), **how).select(F.col("key").alias(key), F.col("drop").alias(drop))
+    return texts.join(found, key, "left").drop(key), docs.where("text IS NULL"), drop
+
+
+def kept_text(text: bytes, drop: list[int] | None) -> bytes:
+    if not drop:
+        return text
+    gone = set(drop)
+    return b"\n".join(line for pos, line in enumerate(text.split(b"\n")) if pos not in gone)
 
 
 def drop_lines(docs: DataFrame, **how) -> DataFrame:
     """The documents with all their columns, without recurring lines."""
-    keyed, drop = _judged(docs, **how)
-    return keyed.join(drop, "__key", "left").withColumn("text", _kept_text()).select(*docs.columns)
+    judged, rest, drop = _judged(docs, **how)
+    names, at = docs.columns, docs.columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            texts = [kept_text(t, d) for t, d in zip(as_bytes(columns[at]), columns[-1].to_pylist(), strict=True)]
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns[:-1], names)
+
+    ordered = judged.select(*(F.col(f"`{c}`") for c in docs.columns), drop)
+    return ordered.mapInArrow(cut, docs.schema).union(rest)
 
 
 def digest(docs: DataFrame, **how) -> DataFrame:
     """One row per document: doc_id, n_lines (with a word), n_dropped, kept_text."""
-    keyed, drop = _judged(docs.select("doc_id", "text"), **how)
-    lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^ \t\x0B\f\r\n]")))
-    out = keyed.join(drop, "__key", "left")
-    return out.select("doc_id", lines.cast("long").alias("n_lines"), F.coalesce(F.size(F.when(F.col("__drop").isNotNull(), F.col("__drop"))), F.lit(0)).cast("long").alias("n_dropped"), _kept_text().alias("kept_text"))
+    judged, rest, drop = _judged(docs.select("doc_id", "text"), **how)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, drops = as_bytes(batch.column(1)), batch.column(2).to_pylist()
+            lines = [sum(1 for line in t.split(b"\n") if line.strip(b" \t\x0b\f\r")) for t in texts]
+            kept = pa.array([kept_text(t, d) for t, d in zip(texts, drops, strict=True)], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(lines, pa.int64()), pa.array([len(d or ()) for d in drops], pa.int64()), kept], ["doc_id", "n_lines", "n_dropped", "kept_text"])
+
+    none = F.lit(0).cast("long")
+    done = judged.select("doc_id", "text", drop).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_text string")
+    return done.union(rest.select(F.col("doc_id").cast("long"), none, none, F.col("text")))

@@ -24,6 +24,7 @@ serve stays unmet; the others are still fitted.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailweave.llm.store import materialise
-from mailweave.llm.tables import row_key
+from mailweave.llm.tables import fresh, row_key
 
 DOMAINS = ["good", "poor", "toxic"]
 
@@ -122,10 +123,10 @@ def _rate(steps: list[np.ndarray]) -> Column:
     return F.when(F.col("n_words") > 0, r).otherwise(1.0)
 
 
-def solve(table: DataFrame, targets: dict[str, float], epochs: float = 1.0, rounds: int = 20, tolerance: float = 1e-4) -> list[np.ndarray]:
-    """The steps that lead from rates of 1 to the fitted rates."""
-    wanted = np.array([targets[d] for d in DOMAINS], float)
-    wanted = wanted / wanted.sum() * epochs
+def solve(table: DataFrame, targets: dict[str, float], epochs: float | None = 1.0, rounds: int = 20, tolerance: float = 1e-4) -> list[np.ndarray]:
+    """The steps that lead from rates of 1 to the fitted rates; without ``epochs``, targets are factors of the domains' tokens."""
+    aim = np.array([targets[d] for d in DOMAINS], float)
+    wanted = None if epochs is None else aim / aim.sum() * epochs
     p = [F.col(f"p_{d}") for d in DOMAINS]
     steps: list[np.ndarray] = []
     best, kept, size = np.inf, 0, 1.0
@@ -136,6 +137,7 @@ def solve(table: DataFrame, targets: dict[str, float], epochs: float = 1.0, roun
         if not row[0]:
             return []
         got, gram = np.array(row[1:4], float) / row[0], np.array(row[4:], float).reshape(3, 3) / row[0]
+        wanted = got * aim if wanted is None else wanted
         left = got - wanted
         worst = float(np.abs(left).max())
         if worst < tolerance:
@@ -145,10 +147,12 @@ def solve(table: DataFrame, targets: dict[str, float], epochs: float = 1.0, roun
         else:  # the step was too long: go back and take half
             steps, size = steps[:kept] if len(steps) > kept else steps, size / 2
         steps = steps + [size * np.linalg.solve(gram + 1e-9 * np.eye(3), left)]
+    # Rates cannot be negative, so not every target can be met.
+    warnings.warn(f"mixing stays within {best:.2g} of its targets, as shares of all tokens", stacklevel=2)
     return steps[:kept]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], epochs: float) -> DataFrame:
+def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], epochs: float | None) -> DataFrame:
     """Every row's doc_id, key, n_words and posteriors, its rate, and copies: the rate with its fraction met by a hash."""
     rows = docs.select("doc_id", row_key().alias("key"), F.size(_words()).cast("long").alias("n_words"))
     table = materialise(rows.join(classified(docs, labels), "key"), "posteriors")
@@ -156,13 +160,14 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], epochs
     return table.withColumn("rate", _rate(solve(table, targets, epochs))).withColumn("copies", F.floor(F.col("rate") + luck).cast("long"))
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], epochs: float = 1.0) -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], epochs: float | None = 1.0) -> DataFrame:
     """One row per document: doc_id, n_words, posteriors p_good, p_poor, p_toxic, rate, copies."""
     return fitted(docs, labels, targets, epochs).drop("key")
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], epochs: float = 1.0) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], epochs: float | None = 1.0) -> DataFrame:
     """The documents with all their columns, each as often as its rate says."""
-    copies = fitted(docs, labels, targets, epochs).groupBy(F.col("key").alias("__row")).agg(F.any_value("copies").cast("int").alias("__copies"))
-    named = docs.withColumn("__row", row_key()).join(copies, "__row").where("__copies > 0")
-    return named.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    key, copies, copy = fresh(docs, "mix_key"), fresh(docs, "mix_copies"), fresh(docs, "mix_copy")
+    often = fitted(docs, labels, targets, epochs).groupBy(F.col("key").alias(key)).agg(F.any_value("copies").cast("int").alias(copies))
+    named = docs.withColumn(key, row_key()).join(often, key).where(F.col(copies) > 0)
+    return named.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))

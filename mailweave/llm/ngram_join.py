@@ -121,8 +121,8 @@ def similar_pairs(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshol
     return good
 
 
-def candidates(unit: np.ndarray, side: np.ndarray, band: np.ndarray, h: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) of a group to verify, sorted by a: of one unit, from both sides if ``across``, with a common band.
+def candidates(unit: np.ndarray, side: np.ndarray, band: np.ndarray, h: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of a group to verify, sorted by a: of one unit, from sides ``lo`` and ``hi``, with a common band.
 
     In a cluster (band -1) any band counts; in a bucket, the pair must not meet in an earlier band.
     """
@@ -132,10 +132,9 @@ def candidates(unit: np.ndarray, side: np.ndarray, band: np.ndarray, h: np.ndarr
     for s, e in zip(starts, np.append(starts[1:], len(order)), strict=True):
         rows = order[s:e]
         k = int(band[rows[0]])
-        if across:
-            left, right = rows[side[rows] == side[rows].min()], rows[side[rows] == side[rows].max()]
-        for n, i in enumerate(left if across else rows):
-            other = right if across else rows[n + 1 :]
+        left, right = (rows[side[rows] == x] for x in (lo, hi)) if lo < hi else (rows, rows)
+        for n, i in enumerate(left):
+            other = right if lo < hi else rows[n + 1 :]
             same = h[other] == h[i]
             keep = same.any(axis=1) if k < 0 else ~same[:, :k].any(axis=1)
             if keep.any():
@@ -194,8 +193,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: flo
     def compare(group: pa.Table) -> pa.Table:
         node = group["node"].to_numpy()
         h = np.frombuffer(b"".join(group["bands"].to_pylist()), "<u8").reshape(len(node), bands)
-        across = group["lo"][0].as_py() != group["hi"][0].as_py()
-        a, b = candidates(group["unit"].to_numpy(), group["part"].to_numpy(), group["band"].to_numpy(), h, across)
+        a, b = candidates(group["unit"].to_numpy(), group["part"].to_numpy(), group["band"].to_numpy(), h, group["lo"][0].as_py(), group["hi"][0].as_py())
         if len(a):
             good = similar_pairs([read_grams(x) for x in group["grams"].to_pylist()], a, b, threshold)
             a, b = a[good], b[good]

@@ -63,10 +63,38 @@ def test_ngram_join(docs, rows, empty):
     assert ngram_join.near_copies(empty).count() == 0
 
 
-def test_tiles_lose_nothing(docs, monkeypatch):
-    want = Counter((r.doc_id, r.n_links) for r in ngram_join.near_copies(docs).collect())
-    monkeypatch.setattr(ngram_join, "TILE", 4)
-    assert Counter((r.doc_id, r.n_links) for r in ngram_join.near_copies(docs).collect()) == want
+def classes(rows, linked):
+    """(id, links, smallest id reachable, kept) of every row by brute force over linked(i, j)."""
+    n = len(rows)
+    links = [[j for j in range(n) if j != i and linked(i, j)] for i in range(n)]
+    root = list(range(n))
+    for i in range(n):
+        todo, seen = [i], {i}
+        while todo:
+            for j in links[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        ids = [rows[j] for j in seen if rows[j] is not None]
+        root[i] = min(ids) if ids else None
+    return Counter((rows[i], len(links[i]), root[i], rows[i] == root[i]) for i in range(n))
+
+
+@pytest.mark.parametrize("tile", [1024, 4, 1])
+def test_classes_of_copies(spark, docs, rows, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").split()) else set() for _, t in rows]
+    near = lambda i, j: sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+    got = Counter(tuple(r) for r in ngram_join.near_copies(docs).collect())
+    assert got == classes([i for i, _ in rows], near)
+
+
+def test_keep_one_with_clashing_columns(spark, rows):
+    data = clashing(spark, [t for _, t in rows])
+    kept = ngram_join.keep_one(data)
+    assert kept.columns == data.columns
+    got = kept.collect()
+    assert all(r.row == "b" for r in got) and {0, 45, 46, 47} <= {r.doc_id for r in got} and not {r.doc_id for r in got} & {*range(30, 45), 48}
 
 
 @pytest.mark.parametrize("most", [2048, 0])
@@ -99,12 +127,113 @@ def test_lm(docs, rows, empty):
     assert lm.score(empty).count() == 0
 
 
-def test_lines(docs, empty):
-    got = {r.doc_id: r for r in line_templates.digest(docs).collect()}
-    assert all(got[60 + i].kept_text == f"start {i} a\nend {i} b" and got[60 + i].n_dropped == 1 for i in range(8)) or all(got[60 + i].n_dropped >= 1 for i in range(8))
-    assert all(got[i].n_dropped == 0 for i in (0, 3, 31, 45, 46, 47, 50)) and got[45].kept_text is None
-    assert line_templates.drop_lines(docs).columns == docs.columns
-    assert line_templates.digest(empty).count() == 0
+def test_lm_score_against_brute_force(spark, docs, rows):
+    """Estimates and context buckets by dictionaries; weights by the operator's own expectation-maximisation over single tokens."""
+    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10
+    tokens = [(i, ["<s>", "<s>", *(t or "").lower().split(), "</s>"]) for i, t in rows]
+
+    def counts(keep):
+        c = [Counter(), Counter(), Counter()]
+        begin = sum(keep(i) for i, _ in tokens)
+        for i, w in tokens:
+            if keep(i):
+                for k in range(2, len(w)):
+                    for n in range(3):
+                        c[n][tuple(w[k - n : k + 1])] += 1
+        return c, begin
+
+    def estimates(w, k, c, begin):
+        context = [sum(c[0].values()), *(begin if k == 2 else c[n - 1][tuple(w[k - n : k])] for n in (1, 2))]
+        p = [c[n][tuple(w[k - n : k + 1])] / context[n] if context[n] else 0.0 for n in range(3)]
+        one, two = (min(math.ceil(math.log2(x + 1)), lm.BUCKETS - 1) for x in context[1:])
+        return (lm.BUCKETS + two if context[2] else one), p
+
+    c, begin = counts(lambda i: fold(i) > 1)
+    held = [estimates(w, k, c, begin) for i, w in tokens if fold(i) == 1 for k in range(2, len(w))]
+    lam = lm.weights(np.array([(b, 1, *p) for b, p in held]), len(c[0]))
+    c, begin = counts(lambda i: fold(i) > 0)
+    want = Counter()
+    for i, w in tokens:
+        total = 0.0
+        for k in range(2, len(w)):
+            b, p = estimates(w, k, c, begin)
+            total += math.log10(lam[b, 0] / (len(c[0]) + 1) + sum(x * y for x, y in zip(lam[b, 1:], p, strict=True)))
+        want[i if i is not None else -1, round(total / len(w), 1)] += 1
+    got = Counter((r.doc_id if r.doc_id is not None else -1, round(r.score / (r.n_tokens + 2), 1)) for r in lm.score(docs).collect())
+    far = sum((want - got).values())
+    assert far <= len(rows) // 20, (want - got, got - want)  # cells hold means of estimates, so a few values round the other way
+
+
+def test_lm_blocks_do_not_matter(docs, monkeypatch):
+    key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens)
+    want = sorted(lm.score(docs).collect(), key=key)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(lm, "PART_BYTES", 500)
+    got = sorted(lm.score(docs).collect(), key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in want] and np.allclose([r.score for r in got], [r.score for r in want]) and np.allclose([r.base_score for r in got], [r.base_score for r in want])
+
+
+CLASHING = "line_key long, line_drop string, row string, mix_key string, mix_copies int, mix_copy int, doc_id long, text string, lang string, source string"
+
+
+def clashing(spark, texts):
+    """Documents whose other columns have the names that operators would use for their own."""
+    return spark.createDataFrame([(7, "a", "b", "c", 5, 6, i, t, "en", "s") for i, t in enumerate(texts)], CLASHING).repartition(3)
+
+
+def prose(rng, n):
+    return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n))
+
+
+def test_lines(spark, empty):
+    rng = np.random.default_rng(23)
+    own = lambda: prose(rng, 40)
+    block = ["Our newsletter comes out each week", "", "read it at leisure or not at all", "terms of use apply to every page here", "back to top"]
+    texts, want = [], []
+    for i in range(40):  # a block of lines, the inner ones always between the same neighbours
+        a, b = own(), own()
+        texts.append("\n".join([a, *block, b]))
+        want.append((f"{a}\n\n{b}", 4))
+    for i in range(24):  # two families of one leaf, with a name that varies; every form is found once
+        a, b = own(), own()
+        line = f"This post was written by {prose(rng, 1)} on the site today" if i % 2 else f"This post was liked strongly and shared by {prose(rng, 1)} indeed"
+        texts.append(f"{a}\n{line}\n{b}")
+        want.append((f"{a}\n{b}", 1))
+    for i in range(8):  # variable fields
+        a, b = own(), own()
+        texts.append(f"{a}\nPage {i} of {90 + i}, seen by u{i}@example.org\n{b}")
+        want.append((f"{a}\n{b}", 1))
+    base = [own() for _ in range(6)]
+    for i in range(30):  # near copies of one document keep their lines
+        lines = list(base)
+        lines[int(rng.integers(0, 6))] = own()
+        texts.append("\n".join(lines))
+        want.append((texts[-1], 0))
+    texts += [None, "", " \n\t", texts[0], texts[0], "\n".join(block)]
+    want += [(None, 0), ("", 0), (" \n\t", 0), want[0], want[0], ("", 4)]
+    data = clashing(spark, texts)
+    got = {r.doc_id: r for r in line_templates.digest(data).collect()}
+    assert [(got[i].kept_text, got[i].n_dropped) for i in range(len(texts))] == want
+    assert all(got[i].n_lines == sum(bool(x.strip()) for x in (t or "").split("\n")) for i, t in enumerate(texts))
+    kept = line_templates.drop_lines(data)
+    assert kept.columns == data.columns
+    rows = kept.collect()
+    assert {r.doc_id: r.text for r in rows} == {i: t for i, (t, _) in enumerate(want)} and all(r.line_key == 7 and r.line_drop == "a" and r.row == "b" for r in rows)
+    assert line_templates.digest(empty).count() == 0 and line_templates.drop_lines(empty).columns == empty.columns
+
+
+def test_lines_against_brute_force(spark):
+    rng = np.random.default_rng(29)
+    pool = [prose(rng, int(rng.integers(1, 9))) for _ in range(60)]
+    texts = ["\n".join([pool[int(60 * rng.random() ** 3)] if rng.random() < 0.5 else prose(rng, 9) for _ in range(int(rng.integers(1, 9)))]) for _ in range(150)]
+    seen = Counter(line for t in set(texts) for line in set(t.split("\n")))
+    common = {x for x, n in seen.items() if n >= 5}
+    words = lambda lines: sum(len(x.split()) for x in lines)
+    backing = [t for t in set(texts) if words(x for x in t.split("\n") if x in common) <= 0.7 * words(t.split("\n"))]
+    support = Counter(line for t in backing for line in set(t.split("\n")) & common)
+    gone = {x for x, n in support.items() if n >= 5}
+    got = {r.doc_id: r.kept_text for r in line_templates.digest(clashing(spark, texts), similarity=1.0).collect()}
+    assert gone and got == {i: "\n".join(x for x in t.split("\n") if x not in gone) for i, t in enumerate(texts)}
 
 
 def test_mixture(docs, labels, empty):
@@ -276,6 +405,31 @@ def test_vectors(spark):
     assert [got[i].n_links for i in range(len(u))] == links.tolist() and all(got[i].n_links == 0 and got[i].kept for i in (31, 40, 41, 42))
 
 
+@pytest.mark.parametrize("block", [4 << 20, 2000])
+def test_vectors_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(vector_dedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(vector_dedup, "STRIP", 16)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 24))
+    found = [base[i % 12] * rng.uniform(0.1, 9) + rng.normal(scale=0.17, size=24) * (i % 3) for i in range(120)]
+    vectors = [v.astype(np.float32).tolist() for v in found]
+    ids = [*range(500, 500 + len(vectors))]
+    vectors += [vectors[3], vectors[3], [0.0] * 24, None, [None] * 24, [float("inf")] * 24, vectors[3][:8], vectors[5]]
+    ids += [700, 700, 701, 702, 703, 704, 705, None]
+
+    def linked(i, j):
+        a, b = vectors[i], vectors[j]
+        if any(v is None or None in v or not np.all(np.isfinite(v)) or not np.any(v) for v in (a, b)) or len(a) != len(b):
+            return False
+        return np.dot(a, b) / np.linalg.norm(np.array(a)) / np.linalg.norm(np.array(b)) >= 0.95
+
+    data = spark.createDataFrame(list(zip(ids, vectors, ["x"] * len(ids), strict=True)), "vec_id long, embedding array<float>, node string").repartition(3)
+    got = Counter(tuple(r) for r in vector_dedup.near_duplicates(data).collect())
+    want = classes(ids, linked)
+    assert got == want and sum(k[1] for k in want) > 200
+    assert vector_dedup.near_duplicates(data.limit(0)).count() == 0
+
+
 def test_longest_match():
     a = wordpiece.LongestMatch([b"ab", b"abc", b"bcd", b"cde"])
     rng = np.random.default_rng(1)
@@ -289,7 +443,31 @@ def test_longest_match():
         assert a.count(w) == n
 
 
-def test_pipeline_imports():
-    import corpus_pipeline
+def test_token_counts(docs, rows, empty):
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    vocabulary = {*wordpiece.load_vocabulary(path), *(bytes([b]) for b in range(256))}
+    longest = max(map(len, vocabulary))
 
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_copies", "mixing", "packing"]
+    def pieces(word):
+        n = i = 0
+        while i < len(word):
+            i += next(k for k in range(min(longest, len(word) - i), 0, -1) if word[i : i + k] in vocabulary)
+            n += 1
+        return n
+
+    want = Counter()
+    known = {}
+    for i, t in rows:
+        words = (t or "").encode().split()
+        want[i, len((t or "").encode()), len(words), sum(known.setdefault(w, pieces(b" " + w)) for w in words)] += 1
+    assert Counter(tuple(r) for r in wordpiece.token_counts(docs, path).collect()) == want
+    assert wordpiece.token_counts(empty, path).count() == 0
+
+
+def test_mixture_relative_and_clashing(spark, rows):
+    data = clashing(spark, [t for _, t in rows])
+    given = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(30)], "doc_id long, quality int, toxic int")
+    out = mixture.mixed(data, given, {"good": 1.0, "poor": 1.0, "toxic": 0.5}, None)
+    got = out.collect()
+    assert out.columns == data.columns and all((r.mix_key, r.mix_copies, r.mix_copy) == ("c", 5, 6) for r in got)
+    assert 0.7 * len(rows) <= len(got) <= 1.2 * len(rows)
