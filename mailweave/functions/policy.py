@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailweave.functions import urls
 from mailweave.functions.text import DEVICE_NAMES
 
 ROOT = "gmail-threads"  # fixed value
@@ -40,6 +41,27 @@ def recipient_value(line: Column) -> Column:
     return F.regexp_replace(line, rf"(?iu)^(?:{'|'.join(LABELS.values())})\s*[:：]\s*", "")
 
 
+def reported_path(actual: Column, requested: Column) -> Column:
+    """The part of a saved file's place from the last root folder on, else the path that was asked for."""
+    slashed = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("/"))
+    found = F.regexp_extract(slashed(actual), f"(?s)^.*/({ROOT}/.*)$", 1)
+    return F.when(found != "", found).otherwise(slashed(requested))
+
+
+def authorized(requests: DataFrame) -> DataFrame:
+    """Adds ok, error and the granted url to requests(type, url, path, thread_id, sender_id, frame_id, tab_url, runtime_id).
+
+    The account is that of the sender's page, never one that the message names; anything missing is rejected.
+    """
+    account = urls.account_of(F.col("tab_url"))
+    known = (F.col("type") == "download") & (F.coalesce("runtime_id", F.lit("")) != "") & (F.col("sender_id") == F.col("runtime_id")) & (F.col("frame_id") == 0)
+    known = F.coalesce(known & F.col("tab_url").startswith(f"https://{urls.HOST}/") & F.col("account").isNotNull(), F.lit(False))
+    safe = F.col("granted").isNotNull() & safe_path(F.col("path"))
+    asked = requests.withColumn("account", account).withColumn("granted", urls.attachment_url_of(F.col("url"), F.col("thread_id"), F.col("account")))
+    error = F.when(~known, "download request rejected").when(~safe, "unsafe download request rejected")
+    return asked.withColumn("error", error).withColumn("ok", F.col("error").isNull()).withColumn("granted", F.when(F.col("ok"), F.col("granted"))).drop("account")
+
+
 def attachment_status(rejected: Column, url: Column, size: Column, save: bool, limit: int = 25 << 20) -> Column:
     wait = F.when(size > limit, "not downloaded: exceeds 25.0 MB limit").otherwise("download started") if save else F.lit("not downloaded (use Copy + save files)")
     return F.when(rejected, "unsafe download link rejected").when(F.coalesce(url, F.lit("")) == "", "no Gmail download link found").otherwise(wait)

@@ -8,15 +8,19 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailweave.markup.space import units
+
 # The phrases that open quoted history, name its placeholders, and close a letter.
 FORWARD = re.compile(r"-{2,}\s*(forwarded message|weitergeleitete nachricht|message transf)", re.I)
-CHAINS = [r"^[ \t]*On\b[\s\S]{0,400}?\bwrote:[ \t]*$", r"^[ \t]*Am\b[\s\S]{0,400}?\bschrieb\b[\s\S]{0,200}?:[ \t]*$", r"^[ \t]*Le\b[\s\S]{0,400}?\ba écrit\s*:[ \t]*$"]
+# Word borders are those between ASCII letters, digits or _ and anything else.
+_B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+CHAINS = [rf"^[ \t]*On{_E}[\s\S]{{0,400}}?{_B}wrote:[ \t]*$", rf"^[ \t]*Am{_E}[\s\S]{{0,400}}?{_B}schrieb{_E}[\s\S]{{0,200}}?:[ \t]*$", rf"^[ \t]*Le{_E}[\s\S]{{0,400}}?{_B}a écrit\s*:[ \t]*$"]
 HEADERS = [r"(?i)^[ \t]*-{2,}\s*Original Message\s*-{2,}[ \t]*$", r"(?i)^[ \t]*From:[ \t]*\S[^\n]*\r?\n[ \t]*Sent:[ \t]*", r"^[ \t]*发件人\s*[:：][^\n]*\r?\n[ \t]*(?:到|收件人)\s*[:：]"]
 PLACEHOLDER = re.compile(r"^[ \t]*\[?(Quoted text hidden|Message clipped|Zitierter Text ausgeblendet)\]?[ \t]*$", re.I | re.M)
 CLOSINGS = "best regards|kind regards|warm regards|best wishes|best|regards|sincerely|thanks|thank you|cheers|mit freundlichen grüßen|viele grüße|beste grüße"
 CLOSING = re.compile(rf"^[ \t]*({CLOSINGS})[,!]?[ \t]*$", re.I | re.M)
 OPENERS = [(re.compile(p, re.M), p in CHAINS) for p in CHAINS + HEADERS]
-DELIMITER, POSTSCRIPT = re.compile(r"^-- ?[ \t]*$", re.M), re.compile(r"\bP\.?S\.?[:.\s]|\?")
+DELIMITER, POSTSCRIPT = re.compile(r"^-- ?[ \t]*$", re.M), re.compile(rf"{_B}P\.?S\.?[:.\s]|\?")
 INLINE_REPLY, SIGN_OFF_CHARS, SIGN_OFF_LINES = 80, 320, 8
 
 
@@ -26,18 +30,18 @@ def _without_history(text: str) -> str:
         return text
     start, _, end, chain = min(hits)
     prose = " ".join(x for x in text[end:].split("\n") if x.strip() and not x.lstrip().startswith(">")).strip()
-    return text if chain and len(prose) > INLINE_REPLY else text[:start]
+    return text if chain and units(prose) > INLINE_REPLY else text[:start]
 
 
 def _without_signature(text: str) -> str:
     m = DELIMITER.search(text)
-    if m and m.start() > len(text) / 2:
+    if m and units(text[: m.start()]) > units(text) / 2:
         text = text[: m.start()]
     closing = list(CLOSING.finditer(text))
     if not closing:
         return text
     tail, kept = text[closing[-1].end() :], text[: closing[-1].start()].rstrip()
-    long = len(tail) > SIGN_OFF_CHARS or sum(bool(x.strip()) for x in tail.split("\n")) > SIGN_OFF_LINES
+    long = units(tail) > SIGN_OFF_CHARS or sum(bool(x.strip()) for x in tail.split("\n")) > SIGN_OFF_LINES
     return text if long or POSTSCRIPT.search(tail) or not kept else kept
 
 

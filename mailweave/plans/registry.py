@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from mailweave.functions import policy, text, xml
-from mailweave.operators import threads, trimming
+from mailweave.functions import policy, subjects, text, urls, xml
+from mailweave.markup import headers, markdown, redact
+from mailweave.operators import captures, outcomes, threads, trimming
+from mailweave.plans import capture
 from mailweave.sources import messages, table
 
 _QUERIES, _SQL = {}, {}
@@ -50,7 +54,7 @@ FROM b JOIN q USING (conv_id)"""
 @query(_DOCUMENTS)
 def thread_documents(spark: SparkSession, d: str) -> DataFrame:
     m = messages(spark, d)
-    return threads.documents(m.select("thread_id").distinct().select("thread_id", F.lit("").alias("subject"), F.lit("table").alias("source"), F.lit(True).alias("complete")), m)
+    return threads.documents(m.select("thread_id").distinct().select("thread_id", F.lit("").alias("subject"), F.lit("table").alias("source"), *(F.lit(True).alias(f"{x}_complete") for x in ("messages", "headers", "attachments"))), m)
 
 
 @query("SELECT conv_id, min(turn) + 1 AS ord, coalesce(arg_min(role, turn) FILTER (WHERE turn > 0), '') AS name, role || '@example.com' AS email FROM conversations GROUP BY conv_id, role")
@@ -128,7 +132,7 @@ def inline_budget(spark: SparkSession, d: str) -> DataFrame:
     return threads.inline_budget(f, "thread", "doc_id", "size").drop("size")
 
 
-@query(f"SELECT doc_id, CASE WHEN k = 1 THEN name ELSE split_part(name, '.', 1) || ' (' || (k - 1) || ').' || split_part(name, '.', 2) END AS target_name FROM (SELECT *, row_number() OVER (PARTITION BY source, name ORDER BY doc_id) AS k FROM {_FILES_SQL})")
+@query(f"SELECT doc_id, CASE WHEN k = 1 THEN name ELSE split_part(name, '.', 1) || ' (' || k || ').' || split_part(name, '.', 2) END AS target_name FROM (SELECT *, row_number() OVER (PARTITION BY source, name ORDER BY doc_id) AS k FROM {_FILES_SQL})")
 def name_collisions(spark: SparkSession, d: str) -> DataFrame:
     return threads.distinct_names(_files(spark, d), "source", "doc_id", "name").select("doc_id", "target_name")
 
@@ -159,3 +163,176 @@ def policies(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def trimmed_bodies(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d).select("thread_id", "n", trimming.trimmed(F.col("body")).alias("t")).select("thread_id", "n", "t.*")
+
+
+@query()
+def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
+    convert = F.pandas_udf(lambda pages: pages.map(markdown.html_to_markdown), StringType())
+    return table(spark, d, "pages").select("page_id", convert("html").alias("markdown"))
+
+
+_LIST = "address_list array<struct<name: string, email: string>>, complete boolean"
+
+
+def _address_lists(values: pd.Series) -> pd.DataFrame:
+    found = [headers.address_list(v) for v in values]
+    return pd.DataFrame({"address_list": [x for x, _ in found], "complete": [c for _, c in found]})
+
+
+_HEADER = """SELECT c_custkey, c_name, 'c' || c_custkey || '@example.com' AS email, c_custkey % 4 AS k FROM customer"""
+
+
+@query(f"""WITH h AS ({_HEADER}) SELECT c_custkey, CASE WHEN k = 3 THEN 2 ELSE 3 END AS entries, CASE k WHEN 0 THEN c_name WHEN 1 THEN c_name || ', ' || upper(substr(c_name, 1, 1)) WHEN 2 THEN email ELSE 'y@example.org' END AS first_name,
+CASE k WHEN 3 THEN 'x' || email ELSE email END AS first_email, CASE WHEN k = 3 THEN 'team' ELSE 'desk@example.org' END AS last_name, k <> 3 AS complete FROM h""")
+def address_list(spark: SparkSession, d: str) -> DataFrame:
+    name, email, k = F.col("c_name"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.com")), F.col("c_custkey") % 4
+    first = F.when(k == 0, F.concat(name, F.lit(" <"), email, F.lit(">"))).when(k == 1, F.concat(F.lit('"'), name, F.lit(", "), F.upper(F.substring(name, 1, 1)), F.lit('" <'), email, F.lit(">"))).when(k == 2, email)
+    header = F.when(k < 3, F.concat(first, F.lit("; Team, desk@example.org"))).otherwise(F.concat(F.lit("x"), email, F.lit(" y@example.org, team")))
+    got = table(spark, d, "customer").select("c_custkey", F.pandas_udf(_address_lists, _LIST)(header).alias("r"))
+    items = F.col("r.address_list")
+    return got.select("c_custkey", F.size(items).alias("entries"), items[0]["name"].alias("first_name"), items[0]["email"].alias("first_email"), F.element_at(items, -1)["name"].alias("last_name"), "r.complete")
+
+
+@query(r"""WITH u AS (SELECT page_id, url, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'https://www.google.com/url?sa=D&q=' || replace(replace(replace(replace(url, '%', '%25'), ':', '%3A'), '&', '%26'), '#', '%23') WHEN 2 THEN 'mailto:p' || page_id || '@example.com' WHEN 3 THEN replace(url, '://', '://user:pw@') ELSE 'javascript:' || url END AS link FROM pages)
+SELECT page_id, CASE WHEN page_id % 5 = 1 THEN url ELSE link END AS target, page_id % 5 < 2 AND regexp_matches(url, '^https?://[^/@]+') OR page_id % 5 = 2 AS safe FROM u""")
+def safe_links(spark: SparkSession, d: str) -> DataFrame:
+    k, url = F.col("page_id") % 5, F.col("url")
+    inner = url
+    for char, code in (("%", "%25"), (":", "%3A"), ("&", "%26"), ("#", "%23")):
+        inner = F.replace(inner, F.lit(char), F.lit(code))
+    link = F.when(k == 0, url).when(k == 1, F.concat(F.lit("https://www.google.com/url?sa=D&q="), inner)).when(k == 2, F.concat(F.lit("mailto:p"), F.col("page_id").cast("string"), F.lit("@example.com")))
+    link = link.when(k == 3, F.replace(url, F.lit("://"), F.lit("://user:pw@"))).otherwise(F.concat(F.lit("javascript:"), url))
+    return table(spark, d, "pages").select("page_id", urls.unwrapped_of(link).alias("target")).select("page_id", "target", urls.safe_of(F.col("target")).alias("safe"))
+
+
+_LINKS_SQL = """(SELECT doc_id, 'thread-' || doc_id AS thread_id, CASE doc_id % 6 WHEN 5 THEN '?view=att&th=other&attid=0.' || doc_id ELSE (CASE doc_id % 6 WHEN 1 THEN 'https://mail.google.com' WHEN 2 THEN 'http://mail.google.com' WHEN 3 THEN 'https://mail.google.com.example.net' ELSE '' END)
+|| '/mail/u/' || (CASE doc_id % 6 WHEN 4 THEN 1 ELSE 0 END) || '/?view=att&th=thread-' || doc_id || '&attid=0.' || doc_id || (CASE WHEN doc_id % 4 = 0 THEN '&realattid=f_' || doc_id WHEN doc_id % 4 = 1 THEN '&permmsgid=msg-f:' || doc_id ELSE '' END) END AS link FROM documents)"""
+
+
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches(link, '^(https://mail\\.google\\.com)?/mail/u/0/\\?view=att&th=thread-[0-9]+&attid=') THEN 'https://mail.google.com' || regexp_replace(link, '^https://mail\\.google\\.com', '') END AS url,
+CASE WHEN link LIKE '%realattid=%' THEN 'realattid:' || regexp_extract(link, 'realattid=([^&]+)', 1) WHEN link LIKE '%permmsgid=%' THEN 'msg:' || regexp_extract(link, 'permmsgid=([^&]+)', 1) || ':' || regexp_extract(link, '[&?]attid=([^&]+)', 1) ELSE 'attid:' || regexp_extract(link, '[&?]attid=([^&]+)', 1) END AS capability,
+link NOT LIKE 'http%' OR regexp_matches(link, '^https://mail\\.google\\.com/') AS home FROM {_LINKS_SQL}""")
+def attachment_links(spark: SparkSession, d: str) -> DataFrame:
+    doc, k, q = F.col("doc_id").cast("string"), F.col("doc_id") % 6, F.col("doc_id") % 4
+    host = F.when(k == 1, "https://mail.google.com").when(k == 2, "http://mail.google.com").when(k == 3, "https://mail.google.com.example.net").otherwise("")
+    more = F.when(q == 0, F.concat(F.lit("&realattid=f_"), doc)).when(q == 1, F.concat(F.lit("&permmsgid=msg-f:"), doc)).otherwise("")
+    link = F.concat(host, F.lit("/mail/u/"), F.when(k == 4, "1").otherwise("0"), F.lit("/?view=att&th=thread-"), doc, F.lit("&attid=0."), doc, more)
+    link = F.when(k == 5, F.concat(F.lit("?view=att&th=other&attid=0."), doc)).otherwise(link)
+    thread = F.concat(F.lit("thread-"), doc)
+    return table(spark, d, "documents").select("doc_id", urls.attachment_url_of(link, thread, F.lit("0")).alias("url"), urls.capability_of(link).alias("capability"), urls.points_home_of(link).alias("home"))
+
+
+_TITLES = ["Gmail - {}", "{} - Gmail", "{} - kim@example.com - Gmail", "{} - Acme Mail", "Re: {}", "{} Q3 - Gmail", "Gmail", "Other - {}"]
+
+
+@query("SELECT c_custkey, c_custkey % 8 < 5 AS matches FROM customer")
+def title_matches(spark: SparkSession, d: str) -> DataFrame:
+    titles = [F.concat(F.lit(t.split("{}")[0]), F.col("c_name"), F.lit(t.split("{}")[1])) if "{}" in t else F.lit(t) for t in _TITLES]
+    title = F.element_at(F.array(*titles), (F.col("c_custkey") % 8 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", subjects.title_matches_of(title, F.col("c_name")).alias("matches"))
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN NULL WHEN 4 THEN 'unsafe download request rejected' ELSE 'download request rejected' END AS error, page_id % 5 = 0 AS ok FROM pages")
+def authorized_downloads(spark: SparkSession, d: str) -> DataFrame:
+    k, thread = F.col("page_id") % 5, F.concat(F.lit("thread-"), F.col("page_id").cast("string"))
+    link = F.concat(F.lit("/mail/u/3/?view=att&th="), thread, F.lit("&attid=0.1"))
+    path = F.when(k == 4, "gmail-threads/../a.pdf").otherwise("gmail-threads/slug/a.pdf")
+    tab = F.when(k == 1, "https://example.com/mail/u/3/").otherwise("https://mail.google.com/mail/u/3/#inbox")
+    asked = table(spark, d, "pages").select("page_id", F.lit("download").alias("type"), link.alias("url"), path.alias("path"), thread.alias("thread_id"), F.when(k == 2, "other").otherwise("me").alias("sender_id"), F.when(k == 3, 1).otherwise(0).alias("frame_id"), tab.alias("tab_url"), F.lit("me").alias("runtime_id"))
+    return policy.authorized(asked).select("page_id", "error", "ok")
+
+
+_QUOTABLE = "t IS NOT NULL AND t <> '' AND t NOT LIKE '%' || chr(10) || '%' AND t NOT LIKE 'On %' AND t NOT LIKE 'From:%' AND t NOT LIKE '--%'"
+
+
+@query(f"SELECT conv_id, turn, rtrim(t) AS text, true AS trimmed FROM (SELECT conv_id, turn, text AS t FROM conversations) WHERE {_QUOTABLE}")
+def trim_quoted(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("t")).where(_QUOTABLE)
+    quoted = F.concat("t", F.lit("\n\nOn Thu, Jan 1, 2026 at 9:30 AM Kim <kim@example.com> wrote:\n> "), "t")
+    return rows.select("conv_id", "turn", trimming.trimmed(quoted).alias("r")).select("conv_id", "turn", "r.text", "r.trimmed")
+
+
+_FLAGS = "SELECT conv_id AS thread_id, turn, turn % 7 <> 6 AS recognised, length(text) % 5 <> 0 AS header_ok, length(text) % 3 <> 0 AS attachments_ok, turn % 4 = 3 AS trimmed, CAST(turn % 5 = 4 AS INT) AS kept_quotes, count(*) OVER (PARTITION BY conv_id) AS candidates FROM conversations WHERE text IS NOT NULL"
+
+
+@query(f"SELECT thread_id, sum(recognised::INT) = max(candidates) AS messages_complete, bool_and(recognised AND header_ok) AS headers_complete, bool_and(recognised AND attachments_ok) AS attachments_complete, bool_or(trimmed) AS quoted_trimmed, sum(kept_quotes)::BIGINT AS kept_quotes FROM ({_FLAGS}) GROUP BY thread_id")
+def completeness(spark: SparkSession, d: str) -> DataFrame:
+    table(spark, d, "conversations").createOrReplaceTempView("conversations")
+    return outcomes.folded(spark.sql(_FLAGS))
+
+
+_COUNTS = """SELECT source || '/' || (doc_id % 97) AS thread_id, count(*) AS total, sum(CAST(doc_id % 11 = 0 AS INT)) AS unsafe, sum(CAST(doc_id % 13 = 0 AS INT)) AS no_link, sum(CAST(doc_id % 17 = 0 AS INT)) AS download_failed,
+sum(CAST(doc_id % 19 = 0 AS INT)) AS inline_failed, sum(CAST(doc_id % 23 = 0 AS INT)) AS inline_skipped, sum(CAST(n_chars > 4000 AS INT)) AS inline_truncated, sum(CAST(n_chars > 9000 AS INT)) AS skipped FROM documents GROUP BY source || '/' || (doc_id % 97)"""
+
+
+@query(f"""SELECT thread_id, concat_ws('; ', CASE WHEN unsafe > 0 OR no_link > 0 THEN 'ATTACHMENT_UNAVAILABLE=At least one attachment lacked a verified Gmail download link and was not fetched.' END,
+CASE WHEN download_failed > 0 THEN 'DOWNLOAD_FAILED=' || download_failed || ' download(s) failed to start.' END, CASE WHEN inline_failed > 0 THEN 'INLINE_ATTACHMENT_FAILED=' || inline_failed || ' text attachment(s) could not be read.' END,
+CASE WHEN inline_skipped > 0 THEN 'INLINE_ATTACHMENT_LIMIT=' || inline_skipped || ' text attachment(s) were not inlined because the per-thread text limit was reached.' END,
+CASE WHEN inline_truncated > 0 THEN 'INLINE_ATTACHMENT_TRUNCATED=' || inline_truncated || ' text attachment(s) were truncated at a safe limit.' END,
+CASE WHEN skipped > 0 THEN 'DOWNLOAD_SKIPPED=' || skipped || ' attachment(s) exceeded the safe download limit.' END) AS warnings FROM ({_COUNTS})""")
+def attachment_warnings(spark: SparkSession, d: str) -> DataFrame:
+    table(spark, d, "documents").createOrReplaceTempView("documents")
+    told = F.transform(outcomes.collection_warnings(), lambda w: F.concat_ws("=", w["code"], w["message"]))
+    return spark.sql(_COUNTS).select("thread_id", F.array_join(told, "; ").alias("warnings"))
+
+
+_DOWNLOADS = "(SELECT user_id AS id, min(ts) AS since FROM events GROUP BY user_id)"
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, ts, event_type = (SELECT min(event_type) FROM events) AS stopped FROM events), r AS {_DOWNLOADS},
+m AS (SELECT r.id, min((ts, CASE WHEN stopped THEN 0 ELSE 1 END, '/home/kim/gmail-threads/f' || event_id || '.pdf')) AS w FROM r JOIN e ON user_id = id AND ts <= since + INTERVAL 5 SECOND WHERE stopped OR event_id % 3 = 0 GROUP BY r.id)
+SELECT r.id AS download_id, w IS NULL OR w[2] = 1 AS ok, CASE WHEN w IS NULL THEN 'gmail-threads/s/a' || r.id WHEN w[2] = 1 THEN substr(w[3], 11) END AS path,
+CASE WHEN w IS NULL THEN 'download started (path unverified)' WHEN w[2] = 1 THEN 'download started' END AS status, CASE WHEN w[2] = 0 THEN 'download interrupted' END AS error FROM r LEFT JOIN m USING (id)""")
+def settled_downloads(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events")
+    first = events.agg(F.min("event_type").alias("first"))
+    file = F.concat(F.lit("/home/kim/gmail-threads/f"), F.col("event_id").cast("string"), F.lit(".pdf"))
+    stopped = F.col("event_type") == F.col("first")
+    told = events.join(F.broadcast(first)).select(F.col("user_id").alias("download_id"), F.col("ts").alias("at"), F.when(stopped, "interrupted").alias("state"), F.when(stopped | (F.col("event_id") % 3 == 0), file).alias("filename"))
+    asked = events.groupBy(F.col("user_id").alias("download_id")).agg(F.min("ts").alias("at")).withColumn("path", F.concat(F.lit("gmail-threads/s/a"), F.col("download_id").cast("string")))
+    return outcomes.settled(asked, told)
+
+
+@query()
+def redacted_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", redact.redacted_text(F.col("text")).alias("text"))
+
+
+@query()
+def redacted_pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", redact.redacted(F.col("html")).alias("r")).select("page_id", "r.html", "r.safe", redact.sidecar(F.col("r")).alias("sidecar"))
+
+
+def printed_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as print views, as a mail page would print them; every third message has a text file."""
+    m = messages(spark, d)
+    link = F.concat(F.lit("/mail/u/0/?view=att&amp;th="), "thread_id", F.lit("&amp;attid=0."), F.col("n").cast("string"))
+    file = F.concat(F.lit('<table><tr><td><img src="https://ssl.gstatic.com/ui/v1/icons/mail/images/generic.gif"></td><td><a href="'), link, F.lit('"><b>notes '), F.col("n").cast("string"), F.lit(".txt</b></a> 1K</td></tr></table>"))
+    body = F.concat(F.lit("<div>"), xml.escaped(F.col("body")), F.lit("</div>"), F.when(F.col("n") % 3 == 0, file).otherwise(""))
+    block = F.concat(
+        F.lit('<table class="message"><tr><td><b>'), F.substring_index("email", "@", 1), F.lit("</b> "), F.col("email"), F.lit("</td><td>"), F.col("local"),
+        F.lit("</td></tr><tr><td>to: Team &lt;team@example.com&gt;</td></tr><tr><td>"), body, F.lit("</td></tr></table>"),
+    )
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", block.alias("b")))), lambda x: x["b"]), "\n")
+    html = F.concat(F.lit("<html><head><title>Gmail - About "), "thread_id", F.lit("</title></head><body>"), joined, F.lit("</body></html>"))
+    pages = m.groupBy("thread_id").agg(html.alias("html"))
+    return pages.select("thread_id", F.lit("0").alias("account_index"), F.concat(F.lit("About "), "thread_id").alias("subject"), F.lit("UTC").alias("timezone"), "html", F.lit(None).cast("string").alias("live_html"))
+
+
+@query(r"""SELECT 'thread-' || conv_id AS thread_id, turn + 1 AS n, role AS name, role || '@example.com' AS email, 'team@example.com' AS recipient, strftime(DATE '2026-01-01' + turn::INT, '%Y-%m-%dT09:30:00.000Z') AS date,
+strftime(DATE '2026-01-01' + turn::INT, '%a, %b %-d, %Y at 9:30 AM') AS local, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS body, (turn + 1) % 3 = 0 AS has_file FROM conversations""")
+def parsed_captures(spark: SparkSession, d: str) -> DataFrame:
+    parsed = captures.parsed(printed_conversations(spark, d))
+    files = captures.items(parsed).select("thread_id", F.col("message_n").alias("n"), F.lit(True).alias("file"))
+    said = captures.messages(parsed).join(files, ["thread_id", "n"], "left")
+    return said.select("thread_id", F.col("n").cast("long").alias("n"), "name", "email", F.col("to")[0]["email"].alias("recipient"), "date", "local", "body", F.coalesce("file", F.lit(False)).alias("has_file"))
+
+
+@query()
+def capture_documents(spark: SparkSession, d: str) -> DataFrame:
+    pages = printed_conversations(spark, d)
+    m = messages(spark, d).where("n % 3 = 0 AND n % 2 = 1")
+    link = F.concat(F.lit("https://mail.google.com/mail/u/0/?view=att&th="), "thread_id", F.lit("&attid=0."), F.col("n").cast("string"))
+    files = m.select("thread_id", link.alias("url"), F.lit("text/plain").alias("content_type"), F.col("body").cast("binary").alias("content"))
+    out = capture.run(pages, files)
+    return out.documents.join(out.summaries, "thread_id")
