@@ -2,7 +2,8 @@
 
 Lines (split at \\n) with a word are parsed by a tree of fixed depth: number of
 words, then the leading ``depth`` words, where words that hold a digit, an @ or ://
-count as variable. Forms of a leaf that agree in ``similarity`` of their words share
+count as variable, unless most words of the line do (rows of numbers are no template).
+Forms of a leaf that agree in ``similarity`` of their words share
 all words of one of a few segments, so each form is compared with the form of most
 documents of each of its segments, and takes the one of most documents that it
 agrees with as its template; a leaf may have any number of templates.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailweave.llm.store import materialise
+from mailweave.llm.store import free, materialise
 from mailweave.llm.tables import fresh
 from mailweave.llm.text import as_bytes
 
@@ -48,7 +49,8 @@ def masked_lines(text: bytes) -> list[tuple[int, int, bytes]]:
         words = line.split()
         if words:
             if _VARIABLE.search(line):
-                words = [b"<*>" if _VARIABLE.search(w) else w for w in words]
+                masked = [b"<*>" if _VARIABLE.search(w) else w for w in words]
+                words = masked if 2 * masked.count(b"<*>") <= len(words) else words
             out.append((pos, len(words), b" ".join(words)))
     return out
 
@@ -111,6 +113,7 @@ def recurring_lines(texts: DataFrame, depth: int = DEPTH, similarity: float = SI
     seen = materialise(held.select("key", "total", "pos", "n", "leaf", "form").distinct().join(named, ["leaf", "form"]).select("key", "total", "pos", "n", "template"), "seen")
     common = seen.select("template", "key").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("template")
     common = materialise(seen.join(common, "template", "left_semi"), "common")
+    free(lines, counted, busy, seen)
     other = common.groupBy("key", "total").agg(F.sum("n").alias("words")).where(F.col("words") <= F.lit(most_share) * F.col("total")).select("key")
     support = common.select("template", "key").distinct().join(other, "key", "left_semi").groupBy("template").agg(F.count("*").alias("docs"))
     recurring = support.where(F.col("docs") >= min_docs).select("template")

@@ -166,7 +166,6 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: flo
     bands, rows = choose_bands(threshold, recall)
     full = materialise(sketches(docs, k, bands, rows), "sketches")
     wordy = full.where("node IS NOT NULL")
-    alone = full.where("node IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
     nodes = materialise(wordy.groupBy("node").agg(F.count("*").alias("weight"), F.min("doc_id").alias("first"), F.any_value("bands").alias("bands")), "nodes")
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +181,8 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: flo
     where = materialise(units(members, buckets), "units")
     sets = wordy.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("grams").alias("grams"))
     sets = materialise(sets.join(nodes.select("node", "weight", "bands"), "node"), "sets")
+    slim = materialise(full.select("doc_id", "node"), "documents")
+    free(full)
     groups = where.where("parts = 1").count() // GROUP + 1
     part = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))
@@ -208,7 +209,10 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: flo
     # Only members of classes of two nodes or more meet in the aggregate.
     smallest = about.join(grouped.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("first").alias("class_id"))
     about = about.join(smallest, "component", "left").select("node", "n_links", F.coalesce("class_id", "first").alias("class_id"))
-    placed = wordy.select("doc_id", "node").join(about, "node")
+    about = materialise(about, "about")
+    free(nodes, tallies)
+    alone = slim.where("node IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    placed = slim.where("node IS NOT NULL").join(about, "node")
     return placed.select("doc_id", "n_links", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")).union(alone)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailweave.llm.encoding import binary_rows, encoder
-from mailweave.llm.store import materialise, scratch
+from mailweave.llm.store import free, materialise, scratch
 from mailweave.llm.text import as_bytes, text_slices
 
 RECORD = np.dtype([("doc_id", "<i8"), ("end", "<u8"), ("null", "<u8")])
@@ -92,6 +92,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     keyed = coded.select("doc_id", "ids", F.xxhash64("ids").alias("h"), F.col("_metadata.row_index").alias("row"))
     ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     rows = ordered.mapInArrow(write, "part long, documents long, tokens long").collect()  # a row for each part
+    free(coded)
     return sorted((r.part, r.documents, r.tokens) for r in rows)
 
 

@@ -471,3 +471,62 @@ def test_mixture_relative_and_clashing(spark, rows):
     got = out.collect()
     assert out.columns == data.columns and all((r.mix_key, r.mix_copies, r.mix_copy) == ("c", 5, 6) for r in got)
     assert 0.7 * len(rows) <= len(got) <= 1.2 * len(rows)
+
+
+def test_kneser_ney_sums_to_one():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{rng.integers(0, 12)}" for _ in range(40)).encode() for _ in range(6)]
+    model = perplexity.fit(*perplexity.trigrams(texts))
+    words = [f"w{i}" for i in range(12)]
+    for context in (["w1", "w2"], ["w3", "never"], ["never", "w4"], [], ["w5"]):
+        first = np.zeros(len(context) + 1, bool)
+        first[0] = True
+        total = 0.0
+        for w in [*words, "unseen"]:
+            h, _ = perplexity.lowered_words([" ".join([*context, w]).encode()])
+            total += math.exp(model.score(h, first)[-1])
+        assert abs(total - 1) < 1e-4
+
+
+def test_quality_base_columns(spark):
+    texts = [None, "", "  \n\t", "a b c a b c # $ *", "x\nx\n\nx\ny", "one two three " * 30, "Ünï cödé <|> & %", " ".join(f"w{i}" for i in range(60)), "\x0b\x0cv\n\rv"]
+    data = spark.createDataFrame([(i, t, lang, "s", 0, "n", "k") for i, (t, lang) in enumerate(zip(texts, ["en", None, "xx"] * 3, strict=True))], SCHEMA)
+    got = {r.doc_id: r for r in perplexity.quality(data, perplexity.train(data, spark.createDataFrame([], "doc_id long, quality int, toxic int"))).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        w = [x.decode() for x in raw.split()]
+        windows = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        covered = {k + j for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in raw.split(b"\n") if x.split()]
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered), failed, not failed)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == want, i
+
+
+def test_pipeline_runs_all_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(41)
+    text = lambda n: " ".join(f"w{int(300 * rng.random() ** 2)}" for _ in range(n))
+    rows = [(i, f"{text(90)}\nShared notice about this site\n{text(60)}") for i in range(60)]
+    rows += [(100 + i, rows[0][1].replace("w1 ", "w2 ", 1)) for i in range(3)] + [(200, "too short"), (201, None)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = {}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_copies", "mixing", "packing"]
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"{tmp_path}/{name}.parquet"
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        columns, docs = docs.columns, spark.read.parquet(path)
+        assert name == "packing" or docs.columns == columns
+        left[name] = docs.collect()
+    assert {r.doc_id for r in left["quality"]} >= set(range(60)) and not {r.doc_id for r in left["quality"]} & {200, 201}
+    assert all("Shared notice" not in r.text and r.text.count("\n") == 1 for r in left["lines"]) and len(left["lines"]) == len(left["quality"])
+    assert {r.doc_id for r in left["near_copies"]} == set(range(60))
+    assert len({r.doc_id for r in left["mixing"]}) >= 55 and all(r.text == next(x.text for x in left["near_copies"] if x.doc_id == r.doc_id) for r in left["mixing"])
+    ids = {i: x for i, x in expected_ids([(r.doc_id, r.text) for r in left["near_copies"]], "byte_bpe_50k.json", 0)}
+    assert all(np.frombuffer(r.ids, "<u2").tolist() == ids[r.doc_id][r.start : r.start + r.length] for r in left["packing"])
+    assert sum(r.length for r in left["packing"]) == sum(len(ids[r.doc_id]) for r in left["mixing"])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(left["packing"])
