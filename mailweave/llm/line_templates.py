@@ -39,6 +39,7 @@ from mailweave.llm.tables import fresh
 from mailweave.llm.text import as_bytes
 
 DEPTH, SIMILARITY, MIN_DOCS, MOST_SHARE = 3, 0.8, 5, 0.7
+BUCKETS = 1 << 18
 _VARIABLE = re.compile(rb"[0-9@]|://")
 
 
@@ -107,7 +108,10 @@ def recurring_lines(texts: DataFrame, depth: int = DEPTH, similarity: float = SI
     counted = materialise(lines.select("leaf", "form", "n", "key").distinct().groupBy("leaf", "form", "n").agg(F.count("*").alias("docs")), "counted")
     # Texts with two forms of a leaf count twice here, so no leaf with enough texts is missed.
     busy = materialise(counted.groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"), "busy")
-    held = lines.join(busy, "leaf", "left_semi")
+    # At most BUCKETS rows are broadcast, at any size; they pick out nearly all lines of busy leaves before the exact join.
+    bucket = F.pmod("leaf", F.lit(BUCKETS)).alias("bucket")
+    some = lines.withColumn("bucket", bucket).join(F.broadcast(busy.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    held = some.join(busy, "leaf", "left_semi")
     forms = held.groupBy("leaf", "form").agg(F.any_value("masked").alias("masked")).join(counted, ["leaf", "form"])
     named = templates(materialise(forms, "forms"), depth, similarity)
     seen = materialise(held.select("key", "total", "pos", "n", "leaf", "form").distinct().join(named, ["leaf", "form"]).select("key", "total", "pos", "n", "template"), "seen")
@@ -125,7 +129,8 @@ def _judged(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame, str]:
     key, drop = fresh(docs, "line_key"), fresh(docs, "line_drop")
     texts = docs.where("text IS NOT NULL").withColumn(key, F.xxhash64("text"))
     found = recurring_lines(texts.select(F.col(key).alias("key"), "text"), **how).select(F.col("key").alias(key), F.col("drop").alias(drop))
-    return texts.join(found, key, "left").drop(key), docs.where("text IS NULL"), drop
+    # The places to drop grow with the corpus, so they are never broadcast.
+    return texts.join(found.hint("merge"), key, "left").drop(key), docs.where("text IS NULL"), drop
 
 
 def kept_text(text: bytes, drop: list[int] | None) -> bytes:

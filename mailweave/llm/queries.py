@@ -74,5 +74,15 @@ def queries() -> dict:
     return {**found, "pipeline": pipeline}
 
 
+#: All pairs of vectors by cosine, and what is reachable by links.
+_VECTORS = """WITH RECURSIVE a AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+v AS (SELECT * FROM a WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT x.r AS x, y.r AS y FROM v x JOIN v y ON x.r <> y.r AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.95),
+reach AS (SELECT r AS x, r AS y FROM a UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+c AS (SELECT x, min(vec_id) AS component_id FROM reach JOIN a ON y = r GROUP BY x),
+n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM a JOIN c ON r = c.x LEFT JOIN n ON r = n.x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quantised_tiles": _VECTORS}

@@ -1,33 +1,40 @@
 """Operator 8, suffix-array dedup: remove bytes of long strings that also start elsewhere.
 
-Anchors cut the work into independent parts: of all ``GRAM``-byte strings inside
-one ``length``-byte string the one of least hash is its anchor, so equal long
-strings share their anchor at the same place, and every string has one. Only anchors found twice or more
-go on, each with the strings it is the anchor of. Occurrences of an anchor with the same
-surroundings are one entry with a count. For every anchor a logarithmic family of
-suffix indexes is grown: the suffixes of a batch of entries, sorted by the
-fingerprint of their first ``length`` bytes (full lexicographic order is not
-needed, as only matches of that length count), are merge-scanned against all
-levels, and levels of one size merge. Every suffix that is met again, in its batch
-or in a level, is marked with its partner. Spans return to their documents and
-are joined there. An anchor in very many different surroundings is dealt out by
-fingerprints of its windows, so no key grows without bound.
+A logarithmic family of sparse suffix arrays over batches of documents. Suffixes are
+sampled at anchors: of all ``GRAM``-byte strings inside one ``length``-byte string the
+one of least hash is its anchor, so equal long strings share their anchor at the same
+place, and every string has one. A batch's suffix array holds its sampled suffixes,
+sorted by the fingerprint of their first ``GRAM`` bytes (an order that all batches
+share; the lexicographic one is not needed, as only matches count). Every new batch
+is merge-scanned against itself and all existing levels for suffixes that begin
+alike, becomes a level, and levels of one size merge. ``SuffixIndex`` is that family;
+its levels are written tables, and batches, scans and merges are distributed.
+
+Suffixes that met another go on with what surrounds them, and matches are decided on
+bytes: in each group of one anchor, strings of ``length`` bytes with one fingerprint are
+compared byte by byte. Places of an anchor with the same surroundings are one entry
+with a count. An anchor in very many different surroundings is dealt out by
+fingerprints of its strings (two of 64 bits), so no key grows without bound. Spans
+return to their documents and are joined there.
 
 Texts are UTF-8 bytes, null as empty; matches never cross documents. A repeated
-row is another place of its text, so both lose what they share.
+row is another place of its text, so both lose what they share. An empty table gives
+no rows. Texts of any length are read whole, ``CHUNK`` bytes of them at a time. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailweave.llm.store import materialise
+from mailweave.llm.store import free, materialise
 from mailweave.llm.text import BLOCK, U64, as_bytes, mix, powers, prefix
 
 LENGTH, GRAM = 400, 64
@@ -35,8 +42,10 @@ LENGTH, GRAM = 400, 64
 CHUNK = 1 << 23
 #: Keys that the places of one anchor are dealt over in joins.
 SALTS = 16
-#: Entries of an anchor that one task indexes; beyond, its windows are dealt out by fingerprint.
+#: Entries of an anchor that one task compares; beyond, its strings are dealt out by fingerprint.
 MOST_ENTRIES = 2048
+#: Batches that a corpus is added in.
+BATCHES = 4
 
 
 def byte_windows(raw: bytes, k: int) -> np.ndarray:
@@ -75,34 +84,64 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-class LevelIndex:
-    """Sorted suffix fingerprints with owners, in levels of geometric sizes."""
+class SuffixIndex:
+    """Levels of sampled suffixes, sorted by fingerprint; sizes grow geometrically."""
 
     def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        """Insert a batch of suffixes; returns the owners, old and new, of all those found twice."""
-        order = np.argsort(keys, kind="stable")
-        keys, owners = keys[order], owners[order]
-        same = keys[1:] == keys[:-1]
-        hit = np.zeros(len(keys), bool)
-        hit[1:] |= same
-        hit[:-1] |= same
-        met = []
-        for old, whose in self.levels:
-            at = np.minimum(np.searchsorted(old, keys), len(old) - 1)
-            found = old[at] == keys
-            hit |= found
-            back = np.searchsorted(keys, old)
-            met.append(whose[keys[np.minimum(back, len(keys) - 1)] == old])
-        self.levels.append((keys, owners))
-        while len(self.levels) > 1 and len(self.levels[-1][0]) * 2 > len(self.levels[-2][0]):
-            (a, p), (b, q) = self.levels.pop(), self.levels.pop()
-            keys2, owners2 = np.concatenate((a, b)), np.concatenate((p, q))
-            order = np.argsort(keys2, kind="stable")
-            self.levels.append((keys2[order], owners2[order]))
-        return np.concatenate([owners[hit], *met])
+        self.levels: list[tuple[int, DataFrame]] = []
+
+    @staticmethod
+    def _sorted(suffixes: DataFrame, name: str) -> DataFrame:
+        return materialise(suffixes.repartition("hash").sortWithinPartitions("hash"), name)
+
+    def add(self, batch: DataFrame) -> list[DataFrame]:
+        """Take in a batch's suffixes (hash, key, first, last); returns tables of the hashes that were met again."""
+        own = self._sorted(batch, "suffixes")
+        counted = own.groupBy("hash").agg(F.count("*").alias("n"))
+        met = [counted.where("n > 1").select("hash")]
+        met += [counted.select("hash").join(level.select("hash").distinct(), "hash") for _, level in self.levels]
+        found = [materialise(m, "met") for m in met]
+        self.levels.append((1, own))
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (n, a), (m, b) = self.levels.pop(), self.levels.pop()
+            merged = self._sorted(a.union(b), "level")
+            free(a, b)
+            self.levels.append((n + m, merged))
+        return found
+
+    def suffixes(self) -> DataFrame:
+        """All suffixes taken in."""
+        return reduce(DataFrame.union, (level for _, level in self.levels))
+
+
+def matches(keys: np.ndarray, entry: np.ndarray, start: np.ndarray, ctx: list[bytes], length: int) -> np.ndarray:
+    """Which of the strings ctx[entry][start : start + length], known by their fingerprints, are found twice or more."""
+    order = np.lexsort((start, entry, keys))
+    same = keys[order][1:] == keys[order][:-1]
+    hit = np.zeros(len(keys), bool)
+    a, b = order[:-1][same], order[1:][same]
+    # Neighbours that go on together are compared once, as one longer string.
+    by = np.lexsort((start[a], start[b] - start[a], entry[b], entry[a]))
+    a, b = a[by], b[by]
+    if not len(a):
+        return hit
+    go_on = (entry[a][1:] == entry[a][:-1]) & (entry[b][1:] == entry[b][:-1]) & (start[a][1:] == start[a][:-1] + 1) & (start[b][1:] == start[b][:-1] + 1)
+    cut = np.flatnonzero(np.concatenate(([True], ~go_on)))
+    good = np.zeros(len(a), bool)
+    for i, j in zip(cut.tolist(), np.append(cut[1:], len(a)).tolist(), strict=True):
+        x, y, s, t, n = ctx[entry[a[i]]], ctx[entry[b[i]]], int(start[a[i]]), int(start[b[i]]), j - i + length - 1
+        if x[s : s + n] == y[t : t + n]:
+            good[i:j] = True
+    hit[a[good]] = hit[b[good]] = True
+    if not good.all():  # fingerprints that lie: decide these by the strings themselves
+        doubtful = np.flatnonzero(np.isin(keys, keys[a[~good]]))
+        by_string: dict[bytes, list[int]] = {}
+        for k in doubtful.tolist():
+            by_string.setdefault(ctx[entry[k]][start[k] : start[k] + length], []).append(k)
+        hit[doubtful] = False
+        for places in by_string.values():
+            hit[places] = len(places) > 1
+    return hit
 
 
 def spans_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -122,8 +161,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 if len(h):
                     yield pa.RecordBatch.from_pydict({"key": np.full(len(h), key), "first": first, "last": last, "hash": h.view(np.int64)})
 
-    found = materialise(texts.select("key", "text").mapInArrow(list_anchors, "key long, first long, last long, hash long"), "anchors")
-    often = found.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1").select("hash")
+    sampled = materialise(texts.select("key", "text").mapInArrow(list_anchors, "key long, first long, last long, hash long"), "anchors")
+    index, met = SuffixIndex(), []
+    for k in range(BATCHES):
+        met += index.add(sampled.where(F.pmod("key", F.lit(BATCHES)) == k))
+    free(sampled)
+    found = index.suffixes()
+    often = reduce(DataFrame.union, met).distinct()
     # A frequent anchor's places are dealt over SALTS keys; the other side has one row per anchor and salt.
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     own = found.withColumn("salt", F.pmod(F.xxhash64("key", "first"), F.lit(SALTS)).cast("int"))
@@ -147,20 +191,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     entries = around.groupBy("hash", entry.alias("entry")).agg(F.count("*").alias("m"), F.any_value("ctx").alias("ctx"))
 
     def scan(group: pa.Table) -> pa.Table:
-        """Grow the index of one anchor; returns the repeated starts of each entry as spans."""
+        """Compare the entries of one anchor; returns the repeated starts of each entry as spans."""
         names, m, ctx = group["entry"].to_numpy(), group["m"].to_numpy(), group["ctx"].to_pylist()
-        index, marked = LevelIndex(), []
-        if len(names) > 1:
-            for i in range(0, len(names), 64):
-                h = [byte_windows(c, length) for c in ctx[i : i + 64]]
-                own = np.concatenate([np.arange(len(x), dtype=np.int64) + ((i + k) << 12) for k, x in enumerate(h)])
-                if len(own):
-                    marked.append(index.add(np.concatenate(h), own))
-        hit = np.unique(np.concatenate(marked)) if marked else np.zeros(0, np.int64)
-        of, out = hit >> 12, []
+        prints = [byte_windows(c, length) for c in ctx]
+        sizes = np.array([len(p) for p in prints])
+        entry = np.repeat(np.arange(len(ctx)), sizes)
+        start = np.arange(len(entry)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        hit = matches(np.concatenate(prints), entry, start, ctx, length) | (m > 1)[entry]
+        out, ends = [], np.concatenate(([0], np.cumsum(sizes)))
         for i in range(len(names)):
-            starts = np.arange(len(ctx[i]) - length + 1) if m[i] > 1 else hit[slice(*np.searchsorted(of, [i, i + 1]))] & 4095
-            out += [(group["hash"][0].as_py(), names[i], s, e) for s, e in spans_of(starts, length)]
+            out += [(group["hash"][0].as_py(), names[i], s, e) for s, e in spans_of(np.flatnonzero(hit[ends[i] : ends[i + 1]]), length)]
         columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["hash", "entry", "s", "e"])
 
@@ -168,16 +208,17 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         for batch in batches:
             for h, name, ctx in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 w = byte_windows(ctx, length).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"hash": np.full(len(w), h), "entry": np.full(len(w), name), "s": np.arange(len(w)), "window": w})
+                other = byte_windows(bytes(255 - b for b in ctx), length).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"hash": np.full(len(w), h), "entry": np.full(len(w), name), "s": np.arange(len(w)), "window": w, "other": other})
 
     entries = materialise(entries, "entries")
     sized = entries.join(entries.groupBy("hash").agg(F.count("*").alias("__n")).where(F.col("__n") > MOST_ENTRIES), "hash", "left")
     few, many = sized.where("__n IS NULL").drop("__n"), sized.where("__n IS NOT NULL").drop("__n")
     shape = "hash long, entry long, s long, e long"
     repeated = few.groupBy("hash").applyInArrow(scan, shape)
-    spread = many.select("hash", "entry", "ctx").mapInArrow(windows, "hash long, entry long, s long, window long")
-    twice = spread.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    repeated = repeated.union(spread.join(twice, "window", "left_semi").select("hash", "entry", "s", (F.col("s") + length).alias("e")))
+    spread = many.select("hash", "entry", "ctx").mapInArrow(windows, "hash long, entry long, s long, window long, other long")
+    twice = spread.groupBy("window", "other").agg(F.count("*").alias("n")).where("n > 1").select("window", "other")
+    repeated = repeated.union(spread.join(twice, ["window", "other"], "left_semi").select("hash", "entry", "s", (F.col("s") + length).alias("e")))
     copied = many.where("m > 1").select("hash", "entry", F.lit(0).cast("long").alias("s"), F.octet_length("ctx").cast("long").alias("e")).where(F.col("e") >= length)
     repeated = repeated.union(copied)
     slim = around.select("hash", entry.alias("entry"), "key", "low", F.pmod(F.xxhash64("key", "low"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -185,8 +226,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return spans.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
-def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes)."""
+def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text and removed.
+
+    kept_text is what is left as text; half a character at an edge becomes U+FFFD there. removed says whether bytes went.
+    """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = plain.withColumn("key", F.xxhash64("text"))
     # Equal texts are one text; where it is long enough, all of each copy is repeated.
@@ -206,13 +250,12 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: b
                 covered = np.cumsum(gone)[:-1] > 0
                 edges = np.diff(np.append(covered, False).astype(np.int8))
                 kept = np.frombuffer(text, np.uint8)[~covered[1:]].tobytes()
-                rows.append((key, len(text), int(covered.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest(), kept))
-            names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            n = 6 if with_text else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:n], kinds, strict=False)], names[:n])
-
-    schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_bytes binary" if with_text else "")
+                rows.append((key, len(text), int(covered.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"), bool(covered.any())))
+            names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "removed"]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, removed boolean"
     done = judged.mapInArrow(cut, schema)
     return keyed.select("doc_id", "key").join(done, "key").drop("key")

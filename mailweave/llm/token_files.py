@@ -6,10 +6,10 @@ else 32), ``part-NNNNN.idx`` holds (doc_id int64, end offset in ids uint64,
 id-is-null uint64) records, both made to be memory-mapped. A part's place in the
 whole stream is the prefix sum of the parts before it.
 
-Texts are encoded where they are read; only ids (16 bits each) are range-sorted by
-document id (null ids first). Documents of one id are ordered by a hash of their
-ids and then by their place in the encoded table, and may lie in several parts, so
-a much repeated id is no hot key. Each task writes one part under a temporary name
+Documents are range-sorted by id (null ids first), and encoded where they are
+written: ids take as much room as texts, so nothing is gained by sorting them instead.
+Documents of one id are ordered by a hash of their text and then by their place in
+the input, and may lie in several parts, so a much repeated id is no hot key. Each task writes one part under a temporary name
 and renames it, so a task that runs again leaves the same file. A null text is
 empty: its only token is the end id. Other columns are ignored. The folder must be
 visible to all executors as a file path; any other kind of path is refused.
@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailweave.llm.encoding import binary_rows, encoder
-from mailweave.llm.store import free, materialise, scratch
+from mailweave.llm.encoding import encoder
+from mailweave.llm.store import scratch
 from mailweave.llm.text import as_bytes, text_slices
 
 RECORD = np.dtype([("doc_id", "<i8"), ("end", "<u8"), ("null", "<u8")])
-#: Bytes of ids per part.
+#: Bytes of text per part.
 PART_BYTES = 16 << 20
 
 
@@ -45,30 +45,17 @@ def local_path(path: str) -> str:
     return path
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids) with the ids of each whole text and the end id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for i, j in text_slices(texts, 4 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), binary_rows(*enc.encode(texts[i:j], end_id))], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int | None = None) -> list[tuple[int, int, int]]:
     """Write all documents in ascending doc_id order; returns (part, documents, tokens) of each part."""
-    coded = materialise(encoded(docs, tokenizer, end_id), "encoded")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     if parts is None:
-        total = coded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = max(docs.sparkSession.sparkContext.defaultParallelism, total // PART_BYTES + 1)
     root = local_path(folder)
     os.makedirs(root, exist_ok=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = encoder(tokenizer).dtype.itemsize
+        enc = encoder(tokenizer)
         k, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         name = f"{root}/part-{k:05d}"
         os.makedirs(root, exist_ok=True)
@@ -78,21 +65,22 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                 known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
                 records = np.zeros(batch.num_rows, RECORD)
                 records["doc_id"], records["null"] = batch.column(0).fill_null(0).to_numpy(), ~known
-                rows = batch.column(1).to_pylist()
-                ends = n + np.cumsum([len(x) // width for x in rows], dtype=np.int64)
-                records["end"] = ends
-                ids.write(b"".join(rows))
+                texts = as_bytes(batch.column(1))
+                for i, j in text_slices(texts, 4 << 20):
+                    coded, sizes = enc.encode(texts[i:j], end_id)
+                    records["end"][i:j] = n + np.cumsum(sizes)
+                    n += len(coded)
+                    ids.write(coded.tobytes())
                 index.write(records.tobytes())
-                n, documents = int(ends[-1]) if len(ends) else n, documents + batch.num_rows
+                documents += batch.num_rows
         for kind in ("bin", "idx"):
             os.replace(f"{name}.{kind}.{attempt}", f"{name}.{kind}")
         yield pa.RecordBatch.from_pydict({"part": [k], "documents": [documents], "tokens": [n]})
 
     order = ["doc_id", "h", "row"]
-    keyed = coded.select("doc_id", "ids", F.xxhash64("ids").alias("h"), F.col("_metadata.row_index").alias("row"))
-    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    keyed = docs.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     rows = ordered.mapInArrow(write, "part long, documents long, tokens long").collect()  # a row for each part
-    free(coded)
     return sorted((r.part, r.documents, r.tokens) for r in rows)
 
 

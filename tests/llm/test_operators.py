@@ -110,10 +110,30 @@ def test_repeats(docs, rows, empty, monkeypatch, most):
                 gone[k : k + 400] = True
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         want[i, len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()] += 1
-    assert Counter(tuple(r) for r in repeats.digest(docs).collect()) == want
+    got = repeats.digest(docs).collect()
+    assert Counter(tuple(r)[:5] for r in got) == want and all(r.removed == (r.n_removed > 0) and len(r.kept_text.encode()) == r.n_bytes - r.n_removed for r in got)
     assert repeats.digest(empty).count() == 0
 
 
+def test_matches_do_not_trust_fingerprints():
+    ctx = [b"abcdefgh", b"xbcdexxx", b"abcdzzzz"]
+    entry = np.repeat([0, 1, 2], 5)
+    start = np.tile(np.arange(5), 3)
+    strings = [ctx[e][s : s + 4] for e, s in zip(entry, start, strict=True)]
+    want = [strings.count(x) > 1 for x in strings]
+    honest = np.array([zlib.crc32(x) for x in strings], np.uint64)
+    for keys in (honest, honest % np.uint64(3), np.zeros(15, np.uint64)):
+        assert repeats.matches(keys, entry, start, ctx, 4).tolist() == want
+
+
+def test_suffix_levels_grow_geometrically(spark):
+    index, shape = repeats.SuffixIndex(), "key long, first long, last long, hash long"
+    met = []
+    for k in range(5):
+        met.append({r.hash for t in index.add(spark.createDataFrame([(k, 0, 0, h) for h in (k, k + 1, 100 + k, 100 + k)], shape)) for r in t.collect()})
+    assert [n for n, _ in index.levels] == [4, 1] and met == [{100}, {1, 101}, {2, 102}, {3, 103}, {4, 104}] and index.suffixes().count() == 20
+
+
 def test_lm(docs, rows, empty):
     got = lm.score(docs).collect()
     fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10
@@ -430,6 +450,22 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert vector_dedup.near_duplicates(data.limit(0)).count() == 0
 
 
+def test_vectors_equal_sql(spark):
+    import duckdb
+
+    from mailweave.llm import queries
+
+    rng = np.random.default_rng(77)
+    base = rng.normal(size=(30, 8))
+    data = [(i, (base[i % 30] + rng.normal(scale=0.15, size=8)).tolist()) for i in range(120)] + [(200, [0.0] * 8), (201, None), (202, [1.0] * 4)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", data)
+    found = vector_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    want = con.sql(queries.oracle_sql()["op9_quantised_tiles"]).fetchall()
+    assert Counter(map(tuple, found.collect())) == Counter(want) and sum(r[1] for r in want) > 50
+
+
 def test_longest_match():
     a = wordpiece.LongestMatch([b"ab", b"abc", b"bcd", b"cde"])
     rng = np.random.default_rng(1)
