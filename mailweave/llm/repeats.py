@@ -92,7 +92,8 @@ class SuffixIndex:
 
     @staticmethod
     def _sorted(suffixes: DataFrame, name: str) -> DataFrame:
-        return materialise(suffixes.repartition("hash").sortWithinPartitions("hash"), name)
+        order = ["hash", "key", "first"]  # so that a frequent fingerprint is dealt over many tasks
+        return materialise(suffixes.repartitionByRange(*order).sortWithinPartitions(*order), name)
 
     def add(self, batch: DataFrame) -> list[DataFrame]:
         """Take in a batch's suffixes (hash, key, first, last); returns tables of the hashes that were met again."""
@@ -223,7 +224,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     repeated = repeated.union(copied)
     slim = around.select("hash", entry.alias("entry"), "key", "low", F.pmod(F.xxhash64("key", "low"), F.lit(SALTS)).cast("int").alias("salt"))
     spans = slim.join(repeated.select("*", salts), ["hash", "entry", "salt"]).select("key", (F.col("low") + F.col("s")).alias("s"), (F.col("low") + F.col("e")).alias("e"))
-    return spans.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    done = materialise(spans.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
+    free(around, entries, *(level for _, level in index.levels))
+    return done
 
 
 def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
