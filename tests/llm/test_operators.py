@@ -524,6 +524,14 @@ def test_kneser_ney_sums_to_one():
         assert abs(total - 1) < 1e-4
 
 
+def test_packed_model_scores_alike():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{rng.integers(0, 90)}" for _ in range(200)).encode() for _ in range(8)]
+    model = perplexity.fit(*perplexity.trigrams(texts[:6]))
+    small = perplexity.Model.unpacked(model.packed())
+    assert np.allclose(perplexity.log_perplexity(texts, model), perplexity.log_perplexity(texts, small), atol=2e-3) and len(model.packed()) < 8 * sum(map(len, model.keys))
+
+
 def test_quality_base_columns(spark):
     texts = [None, "", "  \n\t", "a b c a b c # $ *", "x\nx\n\nx\ny", "one two three " * 30, "Ünï cödé <|> & %", " ".join(f"w{i}" for i in range(60)), "\x0b\x0cv\n\rv"]
     data = spark.createDataFrame([(i, t, lang, "s", 0, "n", "k") for i, (t, lang) in enumerate(zip(texts, ["en", None, "xx"] * 3, strict=True))], SCHEMA)
