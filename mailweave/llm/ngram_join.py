@@ -223,4 +223,4 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.col(row).alias("r"))
     classes = near_copies(rows.select(F.col(row).alias("doc_id"), "text"), threshold, k, recall).select(F.col("doc_id").alias("r"), "class_id")
     stay = rows.select(first.alias("f")).join(classes, F.col("f.r") == classes.r).groupBy("class_id").agg(F.min("f").alias("f")).select(F.col("f.r").alias(row))
-    return rows.join(stay, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(stay.hint("merge"), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

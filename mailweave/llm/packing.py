@@ -207,7 +207,8 @@ def place(cut: DataFrame, capacity: int) -> DataFrame:
     for _, table in found:
         own_places = table.where(F.col("kind") == 0).select(F.col("id").alias("row"), "sequence_id", "offset")
         places = own_places if places is None else places.union(own_places)
-    return cut.join(places, "row").drop("row")
+    # Places grow with the corpus, so they are never broadcast.
+    return cut.join(places.hint("merge"), "row").drop("row")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
