@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from mailweave.llm.components import components
 from mailweave.llm.store import free, materialise
-from mailweave.llm.tables import fresh
+from mailweave.llm.tables import fresh, sieved
 from mailweave.llm.text import U64, as_bytes, mix, text_slices, window_hashes, words_of
 from mailweave.llm.vector_dedup import TALLY, tally
 
@@ -177,9 +177,10 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: flo
 
     light = nodes.select("node", "bands").mapInArrow(unfold, "node long, band int, key long")
     buckets = materialise(light.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("rep")).where("n > 1"), "buckets")
-    members = materialise(light.join(buckets.select("key"), "key", "left_semi"), "members")
+    members = materialise(sieved(light, buckets, "key").join(buckets.select("key"), "key"), "members")
     where = materialise(units(members, buckets), "units")
-    sets = wordy.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("grams").alias("grams"))
+    # Most sets belong to nodes that share no bucket; they are left out before the shuffle.
+    sets = sieved(wordy, members, "node").join(members.select("node").distinct(), "node").groupBy("node").agg(F.any_value("grams").alias("grams"))
     sets = materialise(sets.join(nodes.select("node", "weight", "bands"), "node"), "sets")
     slim = materialise(full.select("doc_id", "node"), "documents")
     free(full)

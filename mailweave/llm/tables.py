@@ -21,3 +21,23 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Bits of a sieve: SIEVE / 64 rows of 64 bits are broadcast at most, at any size.
+SIEVE = 1 << 24
+
+
+def sieved(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The ``rows`` whose hash ``name`` may be among those of ``keys``, for an exact join that then shuffles fewer rows.
+
+    Keeps all that are among them, and of the others about one in SIEVE / (number of keys); with far more keys than
+    SIEVE nearly all rows pass and the exact join alone decides. That join must be an inner one with distinct keys: the
+    optimizer would move a semi-join below the sieve.
+    """
+    place = F.pmod(F.col(name), F.lit(SIEVE))
+    word, bit = F.floor(place / 64).cast("int"), (place % 64).cast("int")
+    word_name, bits = fresh(rows, "sieve_word"), fresh(rows, "sieve_bits")
+    marks = keys.select(word.alias(word_name), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias(bits))
+    marks = marks.groupBy(word_name).agg(F.bit_or(bits).alias(bits))
+    held = rows.withColumn(word_name, word).join(F.broadcast(marks), word_name).where(F.getbit(F.col(bits), bit) == 1)
+    return held.drop(word_name, bits)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mailweave.llm import line_templates, lm, mixture, ngram_join, packing, perplexity, repeats, token_files, vector_dedup, wordpiece
 from mailweave.llm.queries import tokenizer_file
+from mailweave.llm.tables import sieved
 from mailweave.llm.text import WHITE
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, key string"
@@ -89,6 +90,16 @@ def test_classes_of_copies(spark, docs, rows, monkeypatch, tile):
     assert got == classes([i for i, _ in rows], near)
 
 
+def test_sieve_keeps_all_keys(spark):
+    data = spark.range(2000).selectExpr("xxhash64(id) AS key", "id AS sieve_word", "'x' AS sieve_bits")
+    keys = spark.range(0, 4000, 7).selectExpr("xxhash64(id) AS key")
+    got = sieved(data, keys.union(keys), "key")
+    assert got.columns == data.columns
+    left = [r.sieve_word for r in got.collect()]
+    assert len(left) == len(set(left)) and set(range(0, 2000, 7)) <= set(left) and len(left) < 300
+    assert sieved(data, keys.limit(0), "key").count() == 0 and sieved(data.limit(0), keys, "key").count() == 0
+
+
 def test_keep_one_with_clashing_columns(spark, rows):
     data = clashing(spark, [t for _, t in rows])
     kept = ngram_join.keep_one(data)
