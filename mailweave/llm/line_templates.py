@@ -6,7 +6,8 @@ count as variable, unless most words of the line do (rows of numbers are no temp
 Forms of a leaf that agree in ``similarity`` of their words share
 all words of one of a few segments, so each form is compared with the form of most
 documents of each of its segments, and takes the one of most documents that it
-agrees with as its template; a leaf may have any number of templates.
+agrees with as its template; a leaf may have any number of templates. Segments are
+known by 64-bit hashes; words are fetched only for pairs of different forms.
 
 A template recurs if ``min_docs`` different texts support it. A text supports the
 templates of its lines only if lines of templates found in ``min_docs`` texts make up
@@ -27,7 +28,10 @@ whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -84,19 +88,52 @@ def line_table(texts: DataFrame, depth: int) -> DataFrame:
     return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", depth))).withColumn("form", F.xxhash64("masked"))
 
 
+def segments(words: list[bytes], depth: int, allowed: int) -> Iterator[bytes]:
+    """Every (allowed + 1)-th word after the leading ones, from each of the first allowed + 1; read once in all."""
+    step = allowed + 1
+    for s in range(step):
+        yield b" ".join(words[s + -(-max(depth - s, 0) // step) * step :: step])
+
+
+def segment_table(forms: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(leaf, form, docs, segment) of forms(leaf, form, n, masked, docs); a segment is known by a hash, so rows stay small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for leaf, form, n, docs, masked in zip(*(c.to_pylist() for c in batch.columns[:4]), as_bytes(batch.column(4)), strict=True):
+                allowed = math.floor((1 - similarity) * n + 1e-9)
+                head = struct.pack("<q", leaf)
+                for s, x in enumerate(segments(masked.split(b" "), depth, allowed)):
+                    rows.append((leaf, form, docs, int.from_bytes(hashlib.blake2b(b"%s%d %s" % (head, s, x), digest_size=8).digest(), "little", signed=True)))
+                if len(rows) > 1 << 16:
+                    yield made(rows)
+                    rows = []
+            yield made(rows)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["leaf", "form", "docs", "segment"])
+
+    return forms.select("leaf", "form", "n", "docs", "masked").mapInArrow(run, "leaf long, form long, docs long, segment long")
+
+
 def templates(forms: DataFrame, depth: int, similarity: float) -> DataFrame:
     """(leaf, form, template) of forms(leaf, form, n, masked, docs)."""
-    allowed = F.floor((1 - similarity) * F.col("n") + F.lit(1e-9)).cast("int")
     # With so many words different at most, one of the segments (every (allowed + 1)-th word) is the same.
-    segment = lambda s: F.xxhash64("leaf", s, F.array_join(F.filter("words", lambda w, i: (i >= depth) & (i % (allowed + 1) == s)), " "))
-    split = forms.withColumn("words", F.split("masked", " "))
-    parts = split.select("leaf", "form", "docs", "words", F.explode(F.transform(F.sequence(F.lit(0), allowed), segment)).alias("segment"))
+    parts = materialise(segment_table(forms, depth, similarity), "parts")
     first = parts.groupBy("segment").agg(F.max(F.struct("docs", "form")).alias("best")).select("segment", "best")
-    pairs = parts.join(first, "segment").select("leaf", "form", "words", "best.docs", F.col("best.form").alias("head")).distinct()
-    heads = split.select(F.col("leaf"), F.col("form").alias("head"), F.col("words").alias("other"))
-    same = F.aggregate(F.zip_with("words", "other", lambda x, y: x == y), F.lit(0), lambda k, x: k + x.cast("int"))
-    agree = pairs.join(heads, ["leaf", "head"]).where(same >= F.size("words") - F.floor((1 - similarity) * F.size("words") + F.lit(1e-9)))
+    pairs = materialise(parts.join(first, "segment").select("leaf", "form", "best.docs", F.col("best.form").alias("head")).distinct(), "pairs")
+    free(parts)
+    # Words are fetched for pairs of two forms only; most forms lead their own segments.
+    lines = forms.select("leaf", "form", "masked")
+    heads = forms.select("leaf", F.col("form").alias("head"), F.col("masked").alias("other"))
+    words = F.split("masked", " ")
+    same = F.aggregate(F.zip_with(words, F.split("other", " "), lambda x, y: x == y), F.lit(0), lambda k, x: k + x.cast("int"))
+    agree = pairs.where("form <> head").join(lines, ["leaf", "form"]).join(heads, ["leaf", "head"]).where(same >= F.size(words) - F.floor((1 - similarity) * F.size(words) + F.lit(1e-9)))
+    agree = agree.select("leaf", "form", "docs", "head").union(pairs.where("form = head").select("leaf", "form", "docs", "head"))
     chosen = materialise(agree.groupBy("leaf", "form").agg(F.max(F.struct("docs", "head")).alias("best")).select("leaf", "form", F.col("best.head").alias("head")), "chosen")
+    free(pairs)
     # A template may itself have been put under a more common one.
     above = chosen.select("leaf", F.col("form").alias("head"), F.col("head").alias("top"))
     return forms.select("leaf", "form").join(chosen, ["leaf", "form"], "left").join(above, ["leaf", "head"], "left").select("leaf", "form", F.coalesce("top", "head", "form").alias("template"))

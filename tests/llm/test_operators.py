@@ -267,6 +267,23 @@ def test_lines_against_brute_force(spark):
     assert gone and got == {i: "\n".join(x for x in t.split("\n") if x not in gone) for i, t in enumerate(texts)}
 
 
+def test_lines_of_many_words(spark):
+    """Near copies of a line of 20,000 words; with its words beside each of 4,000 segments the heap did not do."""
+    line = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(17576)]
+    edited = lambda k: " ".join([*line[:10], "edit" + chr(97 + k), *line[11:]])
+    own = lambda k: "\n".join(" ".join(f"own{chr(97 + k)}{chr(97 + j)}{w}" for w in line[:900]) for j in range(15))
+    got = line_templates.digest(spark.createDataFrame([(k, edited(k) + "\n" + own(k)) for k in range(8)], "doc_id long, text string")).collect()
+    assert all((r.n_lines, r.n_dropped, r.kept_text) == (16, 1, own(r.doc_id)) for r in got) and len(got) == 8
+
+
+def test_segments():
+    words = [b"%d" % i for i in range(11)]
+    for depth in range(5):
+        for allowed in range(13):
+            want = [b" ".join(w for i, w in enumerate(words) if i >= depth and i % (allowed + 1) == s) for s in range(allowed + 1)]
+            assert list(line_templates.segments(words, depth, allowed)) == want
+
+
 def test_mixture(docs, labels, empty):
     aim = {"good": 0.5, "poor": 0.3, "toxic": 0.2}
     got = mixture.rates(docs, labels, aim).collect()
