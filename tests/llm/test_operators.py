@@ -276,6 +276,17 @@ def test_lines_of_many_words(spark):
     assert all((r.n_lines, r.n_dropped, r.kept_text) == (16, 1, own(r.doc_id)) for r in got) and len(got) == 8
 
 
+def test_lines_stage_with_long_lines(spark):
+    """The pipeline's second stage drops a line of 17,576 words that near copies share, and keeps what is their own."""
+    import corpus_pipeline
+
+    line = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(17576)]
+    own = lambda k: "\n".join(" ".join(f"own{chr(97 + k)}{chr(97 + j)}{w}" for w in line[:900]) for j in range(15))
+    texts = [(k, own(k) + "\n" + " ".join([*line[:99], "edit" + chr(97 + k), *line[100:]]), "en") for k in range(6)]
+    got = corpus_pipeline.lines(spark, spark.createDataFrame(texts, "doc_id long, text string, lang string"), "").collect()
+    assert {r.doc_id: r.text for r in got} == {k: own(k) for k in range(6)}
+
+
 def test_segments():
     words = [b"%d" % i for i in range(11)]
     for depth in range(5):
