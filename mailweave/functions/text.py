@@ -106,9 +106,12 @@ def inlineable(c: Column) -> Column:
     return extension(c).isin(INLINE_EXTENSIONS)
 
 
-def size_text(c: Column) -> Column:
+def size_text(c: Column, ties: str = "up") -> Column:
+    """A size for display; tenths of MB that are exactly half-way go up, as browsers round, or to the ``even`` one, as printf does."""
     n = c.cast("double")
-    return F.when(n.isNull() | (n < 0), "unknown size").when(n < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(F.floor(n / 1024 + 0.5).cast("string"), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", n / (1 << 20)), F.lit(" MB")))
+    tenths = n * 10 / (1 << 20)  # exact where it is half-way
+    mb = F.format_string("%.1f", F.rint(tenths) / 10 if ties == "even" else n / (1 << 20))
+    return F.when(n.isNull() | (n < 0), "unknown size").when(n < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(F.floor(n / 1024 + 0.5).cast("string"), F.lit(" KB"))).otherwise(F.concat(mb, F.lit(" MB")))
 
 
 def size_bytes(c: Column) -> Column:

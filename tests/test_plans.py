@@ -43,6 +43,24 @@ def test_scalars(spark):
     assert not one(spark, policy.safe_path(F.lit("gmail-threads/../x"))) and one(spark, policy.safe_path(F.lit("gmail-threads/a/b.pdf")))
 
 
+def equals_sql(spark, folder, name, table, rows):
+    """Whether a query over a written table of ``rows`` gives its SQL's rows; returns them."""
+    rows.write.parquet(f"{folder}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    got = registry.queries()[name](spark, str(folder))
+    want = con.execute(registry.oracle_sql()[name]).fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and want
+    return want
+
+
+def test_sizes_half_way(spark, tmp_path):
+    """Sizes exactly between two tenths of MB: the query follows its SQL, the function's default the browser."""
+    sizes = [*(k << 18 for k in range(4, 100)), 0, 1023, 1024, 1536, 1048575, 1572864, 10433331, 26214400]
+    equals_sql(spark, tmp_path, "size_display", "lineitem", spark.createDataFrame([(k, 1, float(n)) for k, n in enumerate(sizes)], "l_orderkey long, l_linenumber int, l_extendedprice double"))
+    assert one(spark, text.size_text(F.lit(5 << 18))) == "1.3 MB" and one(spark, text.size_text(F.lit(5 << 18), ties="even")) == "1.2 MB"
+
+
 def test_trim():
     assert trimming.trim("Hi\n\nOn Mon, Kim wrote:\n> old") == ("Hi", True, False)
     assert trimming.trim("Hi\n\nOn Mon, Kim wrote:\n> old\n" + "my answer " * 10 + "end")[1] is False
