@@ -62,11 +62,16 @@ def _each(c: Column, *steps: tuple[str, str]) -> Column:
     return c
 
 
-def slug(c: Column) -> Column:
-    """A folder name: letters and digits joined by hyphens, 60 characters at most."""
-    s = _each(F.lower(F.coalesce(c, F.lit(""))), (r"[\x00-\x1f\x7f]", ""), (r"[^\p{L}\p{N}]+", "-"), ("^-+|-+$", ""))
+def slug(c: Column, folder: bool = True) -> Column:
+    """A folder name: letters and digits joined by hyphens, 60 characters at most.
+
+    A ``folder`` may not bear a device's name, and control characters vanish from it; else they part words like any other.
+    """
+    controls = ((r"[\x00-\x1f\x7f]", ""),) if folder else ()
+    s = _each(F.lower(F.coalesce(c, F.lit(""))), *controls, (r"[^\p{L}\p{N}]+", "-"), ("^-+|-+$", ""))
     s = F.regexp_replace(F.substring(s, 1, 60), "-+$", "")
-    return F.when(s == "", F.lit("thread")).when(s.rlike(DEVICE_NAMES + "$"), F.concat(F.lit("_"), s)).otherwise(s)
+    named = F.when(s == "", F.lit("thread"))
+    return (named.when(s.rlike(DEVICE_NAMES + "$"), F.concat(F.lit("_"), s)) if folder else named).otherwise(s)
 
 
 def file_name(c: Column, fallback: str = "attachment") -> Column:

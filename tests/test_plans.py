@@ -61,6 +61,15 @@ def test_sizes_half_way(spark, tmp_path):
     assert one(spark, text.size_text(F.lit(5 << 18))) == "1.3 MB" and one(spark, text.size_text(F.lit(5 << 18), ties="even")) == "1.2 MB"
 
 
+def test_slugs_of_texts(spark, tmp_path):
+    """Line breaks between words, device names and long texts: the query follows its SQL, a folder's name does not."""
+    texts = ["one\ntwo", "a\tb\x00c\x7fd", "\n", "", None, "aux", "CON", "Ünï\r\nç", "x" * 59 + "\n\nyz", "--a--", "9\n"]
+    texts = [t and t.replace("\x00", "\x01") for t in texts]
+    got = equals_sql(spark, tmp_path, "subject_slug", "documents", spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert dict(got)[0] == "one-two" and dict(got)[5] == "aux"
+    assert one(spark, text.slug(F.lit("one\ntwo"))) == "onetwo" and one(spark, text.slug(F.lit("CON"))) == "_con"
+
+
 def test_trim():
     assert trimming.trim("Hi\n\nOn Mon, Kim wrote:\n> old") == ("Hi", True, False)
     assert trimming.trim("Hi\n\nOn Mon, Kim wrote:\n> old\n" + "my answer " * 10 + "end")[1] is False
