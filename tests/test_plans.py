@@ -70,6 +70,13 @@ def test_slugs_of_texts(spark, tmp_path):
     assert one(spark, text.slug(F.lit("one\ntwo"))) == "onetwo" and one(spark, text.slug(F.lit("CON"))) == "_con"
 
 
+def test_trim_texts_that_open_like_an_intro(spark, tmp_path):
+    """Texts whose first word only begins with "On": the history below them goes, as in the SQL."""
+    texts = ["Onè auxon.", "Onç aiti eau", "Onéuxle", "Once more", "On Monday", "Plain text  ", "Oné " * 200, None, "", "a\nb"]
+    got = equals_sql(spark, tmp_path, "trim_quoted", "conversations", spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "conv_id long, turn int, text string"))
+    assert {r[0]: r[2] for r in got}[0] == "Onè auxon."
+
+
 def test_trim():
     assert trimming.trim("Hi\n\nOn Mon, Kim wrote:\n> old") == ("Hi", True, False)
     assert trimming.trim("Hi\n\nOn Mon, Kim wrote:\n> old\n" + "my answer " * 10 + "end")[1] is False
