@@ -1,5 +1,6 @@
 """Captured pages: cases with known results, one table for each family."""
 
+import time
 import unicodedata
 
 import pytest
@@ -312,3 +313,13 @@ def test_redaction(spark):
     assert kept[0].page == page and kept[0].s.schema_version == 1 and kept[0].s.expected_complete is None
     with pytest.raises(Exception, match="safety check"):
         spark.range(1).select(redact.verified(F.lit("<a href='javascript:x'>"))).collect()
+
+
+def test_redaction_of_long_texts():
+    """Places are counted once: a text of 100,000 words takes a second, and stand-ins depend on places in UTF-16 units."""
+    began = time.process_time()
+    shown = redact.Redactor().text("abc \U0001f600 12345 " * 50000)
+    assert time.process_time() - began < 20
+    words = shown.split(" ")
+    stand_in = [redact.WORDS[(3 * 7 + 13 * k) % len(redact.WORDS)] for k in range(1000)]
+    assert words[0:3000:3] == stand_in
