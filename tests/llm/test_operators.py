@@ -2,10 +2,12 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +197,17 @@ def test_lm_score_against_brute_force(spark, docs, rows):
     assert far <= len(rows) // 20, (want - got, got - want)  # cells hold means of estimates, so a few values round the other way
 
 
+def test_lm_unpacks_one_block_at_a_time():
+    size = 1 << 20
+    batch = pa.RecordBatch.from_pydict({"block": list(range(16)), "texts": [b"x" * size] * 16})
+    tracemalloc.start()
+    for k, row in enumerate(lm.rows_of(iter([batch]))):
+        assert (row["block"], len(row["texts"])) == (k, size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert k == 15 and peak < 4 * size
+
+
 def test_lm_blocks_do_not_matter(docs, monkeypatch):
     key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens)
     want = sorted(lm.score(docs).collect(), key=key)
