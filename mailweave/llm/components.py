@@ -20,10 +20,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     links = materialise(both, "links")
     labels = materialise(links.groupBy("a").agg(F.least("a", F.min("b")).alias("l")).withColumnRenamed("a", "node"), "labels")
     for _ in range(most_rounds):
-        near = links.join(labels, links.b == labels.node).groupBy("a").agg(F.min("l").alias("m"))
-        step = labels.join(near, labels.node == near.a).select("node", F.col("l").alias("was"), F.least("l", "m").alias("l"))
+        near = links.join(labels.hint("merge"), links.b == labels.node).groupBy("a").agg(F.min("l").alias("m"))
+        step = labels.join(near.hint("merge"), labels.node == near.a).select("node", F.col("l").alias("was"), F.least("l", "m").alias("l"))
         jump = labels.select(F.col("node").alias("at"), F.col("l").alias("further"))
-        new = step.join(jump, step.l == jump["at"], "left").select("node", "was", F.least("l", F.coalesce("further", "l")).alias("l"))
+        new = step.join(jump.hint("merge"), step.l == jump["at"], "left").select("node", "was", F.least("l", F.coalesce("further", "l")).alias("l"))
         written = materialise(new, "labels")
         changed = written.where("l <> was").limit(1).count()
         labels = written.select("node", "l")

@@ -144,18 +144,25 @@ def candidates(unit: np.ndarray, side: np.ndarray, band: np.ndarray, h: np.ndarr
     return a[order], b[order]
 
 
+def cluster_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what members(node, rep) connect: one a node, to the least of its buckets' first nodes, and
+    those between first nodes, which the nodes of a large group of near copies have in common."""
+    reps = members.groupBy("node").agg(F.collect_set("rep").alias("reps")).select("node", F.array_min("reps").alias("least"), "reps")
+    between = reps.select(F.explode("reps").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    return reps.select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b").union(between)
+
+
 def units(members: DataFrame, buckets: DataFrame) -> DataFrame:
     """(node, unit, band, parts): the clusters or buckets in which each node is compared.
 
-    members(node, key, band) and buckets(key, n, rep) are those of two nodes or more.
+    members(node, key, band, rep) and buckets(key, n, rep) are those of two nodes or more.
     """
-    with_rep = members.join(buckets.select("key", "rep"), "key")
-    clusters = materialise(components(with_rep.select(F.col("node").alias("a"), F.col("rep").alias("b"))), "clusters")
+    clusters = materialise(components(cluster_links(members)), "clusters")
     tiles = lambda n: F.ceil(n / F.lit(TILE)).cast("long")
     size = clusters.groupBy("component").agg(F.count("*").alias("m"))
-    cost = buckets.join(clusters, buckets.rep == clusters.node).groupBy("component").agg(F.sum(F.col("n") * tiles(F.col("n"))).alias("cost"))
-    mode = size.join(cost, "component").select("component", tiles(F.col("m")).alias("parts"), ((F.col("m") > TILE) & (F.col("cost") < F.col("m") * tiles(F.col("m")))).alias("split"))
-    placed = materialise(clusters.join(mode, "component").select("node", "component", "parts", "split"), "placed")
+    cost = buckets.join(clusters.hint("merge"), buckets.rep == clusters.node).groupBy("component").agg(F.sum(F.col("n") * tiles(F.col("n"))).alias("cost"))
+    mode = size.join(cost.hint("merge"), "component").select("component", tiles(F.col("m")).alias("parts"), ((F.col("m") > TILE) & (F.col("cost") < F.col("m") * tiles(F.col("m")))).alias("split"))
+    placed = materialise(clusters.join(mode.hint("merge"), "component").select("node", "component", "parts", "split"), "placed")
     whole = placed.where("NOT split").select("node", F.col("component").alias("unit"), F.lit(-1).alias("band"), "parts")
     single = members.join(placed.where("split").select("node"), "node", "left_semi").join(buckets.select("key", tiles(F.col("n")).alias("parts")), "key")
     return whole.union(single.select("node", F.col("key").alias("unit"), "band", "parts"))
@@ -177,11 +184,12 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: flo
 
     light = nodes.select("node", "bands").mapInArrow(unfold, "node long, band int, key long")
     buckets = materialise(light.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("rep")).where("n > 1"), "buckets")
-    members = materialise(sieved(light, buckets, "key").join(buckets.select("key"), "key"), "members")
+    # What grows is never broadcast: joins are shuffles at every size.
+    members = materialise(sieved(light, buckets, "key").join(buckets.select("key", "rep").hint("merge"), "key"), "members")
     where = materialise(units(members, buckets), "units")
     # Most sets belong to nodes that share no bucket; they are left out before the shuffle.
-    sets = sieved(wordy, members, "node").join(members.select("node").distinct(), "node").groupBy("node").agg(F.any_value("grams").alias("grams"))
-    sets = materialise(sets.join(nodes.select("node", "weight", "bands"), "node"), "sets")
+    sets = sieved(wordy, members, "node").join(members.select("node").distinct().hint("merge"), "node").groupBy("node").agg(F.any_value("grams").alias("grams"))
+    sets = materialise(sets.join(nodes.select("node", "weight", "bands").hint("merge"), "node"), "sets")
     slim = materialise(full.select("doc_id", "node"), "documents")
     free(full)
     groups = where.where("parts = 1").count() // GROUP + 1
@@ -201,19 +209,19 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: flo
             a, b = a[good], b[good]
         return pa.Table.from_batches([tally(node, group["weight"].to_numpy().astype(np.float64), a, b)])
 
-    tallies = materialise(tiles.join(sets, "node").groupBy("tiled", "cell", "lo", "hi").applyInArrow(compare, TALLY), "tallies")
+    tallies = materialise(tiles.join(sets.hint("merge"), "node").groupBy("tiled", "cell", "lo", "hi").applyInArrow(compare, TALLY), "tallies")
     free(members, buckets, where, sets)
     counted = tallies.groupBy("node").agg(F.sum("links").alias("links"))
     grouped = components(tallies.select(F.col("node").alias("a"), F.col("parent").alias("b")))
-    about = nodes.select("node", "weight", "first").join(counted, "node", "left").join(grouped, "node", "left")
+    about = nodes.select("node", "weight", "first").join(counted.hint("merge"), "node", "left").join(grouped.hint("merge"), "node", "left")
     about = about.select("node", "first", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
     # Only members of classes of two nodes or more meet in the aggregate.
-    smallest = about.join(grouped.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("first").alias("class_id"))
-    about = about.join(smallest, "component", "left").select("node", "n_links", F.coalesce("class_id", "first").alias("class_id"))
+    smallest = about.join(grouped.select("component").distinct().hint("merge"), "component", "left_semi").groupBy("component").agg(F.min("first").alias("class_id"))
+    about = about.join(smallest.hint("merge"), "component", "left").select("node", "n_links", F.coalesce("class_id", "first").alias("class_id"))
     about = materialise(about, "about")
     free(nodes, tallies)
     alone = slim.where("node IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
-    placed = slim.where("node IS NOT NULL").join(about, "node")
+    placed = slim.where("node IS NOT NULL").join(about.hint("merge"), "node")
     return placed.select("doc_id", "n_links", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")).union(alone)
 
 

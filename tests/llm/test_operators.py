@@ -92,6 +92,18 @@ def test_classes_of_copies(spark, docs, rows, monkeypatch, tile):
     assert got == classes([i for i, _ in rows], near)
 
 
+def test_links_of_a_large_group(spark):
+    """A group of near copies in many buckets: links grow with its nodes, not with nodes times buckets, and connect the same."""
+    rng = np.random.default_rng(11)
+    pairs = {(g * 1000 + n, g * 1000 + int(rng.integers(0, min(n, 20) + 1))) for g in range(3) for n in range(400) for _ in range(30)}
+    want = {(g * 1000 + n, g * 1000) for g in range(3) for n in range(400)}
+    links = ngram_join.cluster_links(spark.createDataFrame(sorted(pairs), "node long, rep long")).collect()
+    assert len(links) < 2000 < len(pairs)
+    found = ngram_join.components(spark.createDataFrame([tuple(x) for x in links], "a long, b long")).collect()
+    joined = ngram_join.components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()
+    assert {tuple(r) for r in found} == {tuple(r) for r in joined} == want
+
+
 def test_sieve_keeps_all_keys(spark):
     data = spark.range(2000).selectExpr("xxhash64(id) AS key", "id AS sieve_word", "'x' AS sieve_bits")
     keys = spark.range(0, 4000, 7).selectExpr("xxhash64(id) AS key")
