@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mailweave.llm import line_templates, lm, mixture, ngram_join, packing, perplexity, repeats, token_files, vector_dedup, wordpiece
+from mailweave.llm import kneser_ney, line_templates, lm, mixture, ngram_join, packing, perplexity, repeats, token_files, vector_dedup, wordpiece
 from mailweave.llm.queries import tokenizer_file
 from mailweave.llm.tables import sieved
 from mailweave.llm.text import WHITE
@@ -397,6 +397,27 @@ def test_quality_lower_band(spark):
     assert all(got[i].kept for i in range(last) if i != labelled)
 
 
+def test_quality_models_hold_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 20000)
+    monkeypatch.setattr(kneser_ney, "PART_BYTES", 10000)
+    rng = np.random.default_rng(17)
+    text = lambda lang, n: " ".join(f"{lang}{int(3000 * rng.random() ** 3)}" for _ in range(n))
+    rows = [("en", text("a", int(rng.integers(50, 70)))) for _ in range(700)] + [("en", text("a", 5000)), ("en", text("a", 6000))]
+    rows += [("de", text("b", 60)) for _ in range(40)]
+    rows += rows[:30] + [("en", text("a", 30)), ("de", text("b", 45)), ("de", text("b", 200))]  # copies, short ones and one without a label
+    data = spark.createDataFrame([(i, t, lang, "s", 0, "n", "k") for i, (lang, t) in enumerate(rows)], SCHEMA).repartition(3)
+    good = spark.createDataFrame([(i, 1, 0) for i in range(len(rows) - 1)], "doc_id long, quality int, toxic int")
+    dealt = perplexity.folded(perplexity.eligible(data, good)).collect()
+    assert Counter(r.lang for r in dealt) == {"en": 702, "de": 40} and all(r.first for r in dealt)
+    assert all(abs(sum(2 * r.fold - 1 for r in dealt if r.lang == lang)) <= 1 for lang in ("en", "de"))
+    got = {r.doc_id: r.log_perplexity for r in perplexity.quality(data, perplexity.train(data, good)).collect()}
+    for lang in ("en", "de"):
+        models = [perplexity.fit(*perplexity.trigrams([r.text.encode() for r in dealt if (r.lang, r.fold) == (lang, f)])) for f in (0, 1)]
+        mine = [i for i, r in enumerate(rows) if r[0] == lang]
+        want = np.maximum(*(perplexity.log_perplexity([rows[i][1].encode() for i in mine], m) for m in models))
+        assert np.allclose([got[i] for i in mine], want, atol=1e-4)
+
+
 def specials(rows):
     """The rows with strings of special tokens, wide white space and contractions added."""
     return [*rows, (80, "hello <|endoftext|> there"), (81, "x<|endoftext|>y  <|startoftext|>\n"), (82, "a\u00a0 b \u2003c\u3000"), (83, "don't  WE'LL\t\n\ncafe\u0301 \u4e2d\u6587")]
