@@ -21,7 +21,10 @@ FACTORS = {"good": 1.0, "poor": 1.0, "toxic": 0.5}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return perplexity.keep_good(docs, perplexity.train(docs, read(spark, sf_dir, "labels")))
+    judge = perplexity.train(docs, read(spark, sf_dir, "labels"))
+    good = perplexity.keep_good(docs, judge)
+    judge.close()
+    return good
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,7 +184,7 @@ class Judge:
     def close(self) -> None:
         """Delete the counts: nothing is judged any more."""
         if self.counts:
-            free(self.counts.table)
+            free(*self.counts.tables)
 
 
 def size_of(docs: DataFrame) -> int:
@@ -315,7 +315,7 @@ def judged(docs: DataFrame, judge: Judge, run: Callable, schema: str, name: str)
         parts = [measure(texts[i:j], ppl[i:j], models.get(lang)) for i, j in text_slices(texts, 1 << 20)]
         return run(rows, [np.concatenate(x) for x in zip(*parts, strict=True)])
 
-    counts = judge.counts or kneser_ney.Counts(docs.sparkSession.createDataFrame([], kneser_ney.ROW), [1] * 3, {})
+    counts = judge.counts or kneser_ney.Counts([docs.sparkSession.createDataFrame([], kneser_ney.ROW)] * 3, [1] * 3, {})
     rounds = max(ROUNDS, size_of(docs) // (counts.parts[2] * PART_BYTES) + 1)
     out = None
     for k in range(rounds):
