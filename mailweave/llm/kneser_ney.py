@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailweave.llm.store import free, materialise
-from mailweave.llm.text import U64, as_bytes, join_texts, mix, pack_arrays, small, text_slices, unpack_arrays, word_hashes
+from mailweave.llm.text import U64, as_bytes, give_back, join_texts, mix, pack_arrays, ranked, small, text_slices, unpack_arrays, word_keys
 
 BEGIN = U64(0x5851F42D4C957F2D)
 #: Bytes of text per block, and per partition of the hash space.
@@ -47,9 +47,13 @@ def text_key(text: bytes) -> int:
 
 
 def lowered_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    buf, at = join_texts([t.lower() for t in texts])
-    h, s, _ = word_hashes(buf)
-    return h, np.searchsorted(s, at)
+    hashes, counts = [np.zeros(0, U64)], [np.zeros(1, np.int64)]
+    for i, j in text_slices(texts, 1 << 18):
+        buf, at = join_texts(texts[i:j])
+        h, s, _ = word_keys(buf.lower())
+        hashes.append(h)
+        counts.append(np.diff(np.searchsorted(s, at)))
+    return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -86,7 +90,13 @@ class Grams:
 
     def distinct(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """The sorted distinct n-grams, and the place of each token's."""
-        return np.unique(self.codes[kind], return_inverse=True)
+        x = self.codes[kind]
+        order = ranked(x, BITS)
+        x = x[order]
+        new = np.concatenate(([True], x[1:] != x[:-1])) if len(x) else np.zeros(0, bool)
+        place = np.empty(len(x), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return x[new], place
 
 
 def raised(own: Grams, kind: int, counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -99,9 +109,18 @@ def raised(own: Grams, kind: int, counts: list[np.ndarray]) -> tuple[np.ndarray,
     at[place] = np.arange(len(place))  # any token that ends in it
     keys, of = own.distinct(kind - 1)
     event, context, begins = of[at], of[own.before[at]], own.before[at] == own.n
-    add = lambda place, x: np.bincount(place, x, len(keys)).astype(np.int64)
-    out = [add(event, np.where(begins, c, c > 0) if kind == 2 else c > 0) for c in counts]
-    return keys, out + [add(context, x) for f in (lambda c: c, lambda c: c == 1, lambda c: c == 2, lambda c: c > 2) for x in map(f, counts)]
+    precedes, follows = [], []
+    for c in counts:
+        some, many = np.flatnonzero(c), np.flatnonzero(c > 2)
+        n = np.bincount(event[some], minlength=len(keys))
+        if kind == 2:
+            plain = np.flatnonzero(begins & (c > 1))
+            n += np.bincount(event[plain], c[plain] - 1.0, len(keys)).astype(np.int64)
+        precedes.append(n)
+        by = np.bincount(context[some] * 3 + np.minimum(c[some], 3).astype(np.int64) - 1, minlength=3 * len(keys)).reshape(-1, 3)
+        total = by[:, 0] + 2 * by[:, 1] + np.bincount(context[many], c[many], len(keys)).astype(np.int64)
+        follows.append((total, *by.T))
+    return keys, precedes + [x for columns in zip(*follows, strict=True) for x in columns]
 
 
 def blocks_of(rows: DataFrame, texts: str, langs: str, some: set[str] | None = None) -> DataFrame:
@@ -125,6 +144,7 @@ def blocks_of(rows: DataFrame, texts: str, langs: str, some: set[str] | None = N
                     columns = {"kind": [-1], "part": [0], "block": [number], "lang": [x], "blob": [sink.getvalue().to_pybytes()]}
                     yield pa.RecordBatch.from_pydict(columns, pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("blob", pa.binary())]))
                     number += 1
+        give_back()
 
     return materialise(rows.mapInArrow(run, ROW), "blocks")
 
@@ -160,6 +180,7 @@ def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, pa
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
             yield row["block"], row["lang"], opened(row["blob"])
+    give_back()
 
 
 def with_replies(blocks: DataFrame, replies: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -172,7 +193,9 @@ def with_replies(blocks: DataFrame, replies: DataFrame, run: Callable, schema: s
         for kind in set(kinds) - {-1}:
             lists = [unpack_arrays(blobs[i].as_py()) for _, i in sorted((parts[i], i) for i, k in enumerate(kinds) if k == kind)]
             found[kind] = [np.concatenate(x) for x in zip(*lists, strict=True)]
-        return run(group["block"][own].as_py(), group["lang"][own].as_py(), opened(blobs[own].as_py()), found)
+        out = run(group["block"][own].as_py(), group["lang"][own].as_py(), opened(blobs[own].as_py()), found)
+        give_back(1)
+        return out
 
     return blocks.union(replies).groupBy("block").applyInArrow(judge, schema)
 
@@ -193,7 +216,7 @@ def added_up(lists: DataFrame, parts: int, name: str) -> DataFrame:
         blocks = group["block"].to_pylist()
         group = group.take(pa.array(np.argsort(blocks, kind="stable")))
         ends, keys, counts = _unpacked(group["blob"].to_pylist(), part, parts)
-        order = np.argsort(keys, kind="stable")
+        order = ranked(keys - U64((part << BITS) // parts), ((1 << BITS) // parts + 1).bit_length())
         keys = keys[order]
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         owner = order[starts]
@@ -221,6 +244,7 @@ def added_up(lists: DataFrame, parts: int, name: str) -> DataFrame:
         table = pa.table(rows, _SCHEMA)
         for i, column in enumerate(_SUMS):
             table = table.append_column(column, pa.array([x[i] for x in sums], pa.int64()))
+        give_back(1)
         return table
 
     return materialise(lists.groupBy("kind", "part").applyInArrow(run, ROW + "".join(f", {c} long" for c in _SUMS)), name)
@@ -270,18 +294,19 @@ def count(blocks: DataFrame, size: int) -> Counts:
 
         return run
 
-    tables, sums, found = {}, {}, None
+    tables, sums, told = {}, {}, None
     for kind in (2, 1, 0):
-        lists = blocks.mapInArrow(first, ROW) if kind == 2 else with_replies(blocks, found.where("block >= 0").select(*_SCHEMA.names), lower(kind + 1), ROW)
-        below = added_up(lists, parts[kind], "added")
-        if found:
-            free(found)
-        found = below
+        lists = blocks.mapInArrow(first, ROW) if kind == 2 else with_replies(blocks, told, lower(kind + 1), ROW)
+        found = added_up(lists, parts[kind], "added")
+        if told:
+            free(told)
         tables[kind] = materialise(found.where("block = -1").select(*_SCHEMA.names), "counts", "uncompressed")
         for r in found.where("block = -2").groupBy("lang").agg(*(F.sum(c).alias(c) for c in _SUMS)).collect():
             for f in range(FOLDS):
                 sums.setdefault(r["lang"], [{} for _ in range(FOLDS)])[f][kind] = [r[f"s{f}{i}"] for i in range(6)]
-    free(found)
+        # The replies alone stay while the next order is counted.
+        told = materialise(found.where("block >= 0").select(*_SCHEMA.names), "told", "uncompressed") if kind else None
+        free(found)
     return Counts([tables[k] for k in range(3)], parts, {lang: [Discounts.of(x) for x in folds] for lang, folds in sums.items()})
 
 
@@ -289,17 +314,17 @@ def log_probabilities(own: Grams, places: list[np.ndarray], found: dict[int, lis
     """Natural log probability of each word by the model of one fold; ``found`` are the counts of the distinct n-grams."""
     p = np.zeros(own.n, np.float32)
     for kind, (d, place) in enumerate(zip(by.by_kind, places, strict=True)):
-        c = found[kind][fold]
-        rest = (c - d[np.minimum(c, 3)]).astype(np.float32)[place[: own.n]]
+        c, d = found[kind][fold], d.astype(np.float32)
+        rest = (c.astype(np.float32) - d[np.minimum(c, 3)])[place[: own.n]]
         if kind == 0:
             p = rest / np.float32(by.total) + np.float32(by.unknown)
             continue
         _, times, *followed = found[kind - 1][fold::FOLDS]
         # An n-gram is not found where its context is not: the estimate of the lower order is left as it is there.
-        share = 1 / np.maximum(times, 1)
-        gamma = np.where(times > 0, sum(x * y for x, y in zip(followed, d[1:], strict=True)) * share, 1)
+        share = 1 / np.maximum(times, 1).astype(np.float32)
+        gamma = np.where(times > 0, sum(x * y for x, y in zip(followed, d[1:], strict=True)) * share, np.float32(1))
         context = places[kind - 1][own.before[: own.n]]
-        p = rest * share.astype(np.float32)[context] + gamma.astype(np.float32)[context] * p
+        p = rest * share[context] + gamma[context] * p
     return np.log(p)
 
 
@@ -343,6 +368,7 @@ def asked(blocks: DataFrame, counts: Counts, kinds: tuple[int, ...]) -> DataFram
             for x, t in zip(told, totals, strict=True):
                 x[hit] = t[at]
             out.append(pack_arrays(*map(small, told)))
+        give_back(1)
         return asked.set_column(asked.column_names.index("blob"), "blob", pa.array(out, pa.binary()))
 
     rows = blocks.where("lang IS NOT NULL").mapInArrow(ask, ROW)

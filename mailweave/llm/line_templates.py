@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from mailweave.llm.store import free, materialise
 from mailweave.llm.tables import fresh
-from mailweave.llm.text import as_bytes
+from mailweave.llm.text import as_bytes, give_back
 
 DEPTH, SIMILARITY, MIN_DOCS, MOST_SHARE = 3, 0.8, 5, 0.7
 BUCKETS = 1 << 18
@@ -77,6 +77,7 @@ def line_table(texts: DataFrame, depth: int) -> DataFrame:
                     yield made(rows)
                     rows, size = [], 0
             yield made(rows)
+        give_back()
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from mailweave.llm.components import components
 from mailweave.llm.store import free, materialise
 from mailweave.llm.tables import fresh, sieved
-from mailweave.llm.text import U64, as_bytes, mix, text_slices, window_hashes, words_of
+from mailweave.llm.text import U64, as_bytes, give_back, mix, text_slices, window_hashes, words_of
 from mailweave.llm.vector_dedup import TALLY, tally
 
 #: Nodes of a tile, and nodes of small clusters that share a task's group.
@@ -64,10 +64,14 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     at = np.cumsum([0, *(len(s) for s in sets[:-1])])
     every = np.concatenate(sets)
     out = np.zeros((len(sets), bands), U64)
+    x, y = np.empty_like(every), np.empty_like(every)
     for i in range(bands * rows):
-        x = every * a[i] + b[i]
-        x ^= x >> U64(32)
-        out[:, i // rows] = mix(out[:, i // rows] + np.minimum.reduceat(x * a[-1 - i], at))
+        np.multiply(every, a[i], out=x)
+        x += b[i]
+        np.right_shift(x, U64(32), out=y)
+        x ^= y
+        x *= a[-1 - i]
+        out[:, i // rows] = mix(out[:, i // rows] + np.minimum.reduceat(x, at))
     return out
 
 
@@ -88,6 +92,7 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 grams = [(s >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
                 columns = [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(node, pa.int64()), pa.array(hashes, pa.binary()), pa.array(grams, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "bands", "grams"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, bands binary, grams binary")
 

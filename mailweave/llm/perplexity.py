@@ -34,7 +34,7 @@ from mailweave.llm import kneser_ney, ngram_join
 from mailweave.llm.kneser_ney import BEGIN, FOLDS, PART_BYTES, chain, discounts, lowered_words
 from mailweave.llm.store import free, materialise
 from mailweave.llm.tables import sieved
-from mailweave.llm.text import U64, WHITE, as_bytes, delta, join_texts, mix, pack_arrays, text_slices, unpack_arrays, word_hashes
+from mailweave.llm.text import U64, as_bytes, delta, join_texts, mix, pack_arrays, ranked, text_slices, unpack_arrays, word_keys
 
 #: Words that a document of the models has at least, the fewest documents that give a band, and those that give a robust one.
 SHORT, LEAST, FEW = 50, 5, 20
@@ -42,8 +42,9 @@ SHORT, LEAST, FEW = 50, 5, 20
 CELLS, IN_TURN = 4096, 1024
 #: Parts of the documents that are scored one after another.
 ROUNDS = 4
-_SYMBOL = np.zeros(256, bool)
-_SYMBOL[list(b"#*$%&|<>")] = True
+_SYMBOLS = b"#*$%&|<>"
+#: What is no first byte of a code point in a word.
+_NO_CHARS = bytes([0x20, *range(0x09, 0x0E), *range(0x80, 0xC0)])
 
 
 @dataclass
@@ -270,11 +271,11 @@ def repeated_words(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     of = np.repeat(np.arange(len(n)), n)
     inside = of[:-2] == of[2:]
     key = mix(((h[:-2] * U64(0x9E3779B97F4A7C15) + h[1:-1]) * U64(0x9E3779B97F4A7C15) + h[2:]) ^ mix(of[:-2].astype(U64)))
-    order = np.argsort(key[inside])
-    where = np.flatnonzero(inside)[order]
-    ranked = key[where]
-    same = ranked[1:] == ranked[:-1]
-    twice = np.zeros(len(ranked), bool)
+    where = np.flatnonzero(inside)
+    where = where[ranked(key[inside])]
+    key = key[where]
+    same = key[1:] == key[:-1]
+    twice = np.zeros(len(key), bool)
     twice[1:] |= same
     twice[:-1] |= same
     covered = np.zeros(len(h), bool)
@@ -287,12 +288,11 @@ def repeated_words(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 def measure(texts: list[bytes], ppl: np.ndarray, band: Language | None) -> list[np.ndarray]:
     """The columns of OUT for some texts of one language and their log-perplexities."""
     buf, starts = join_texts(texts)
-    h, s, _ = word_hashes(buf)
+    h, s, _ = word_keys(buf)
     at = np.searchsorted(s, starts)
     n = np.diff(at)
-    a = np.frombuffer(buf, np.uint8)
-    total = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[starts])
-    chars, symbols = total(~WHITE[a] & ((a & 0xC0) != 0x80)), total(_SYMBOL[a])
+    chars = np.array([len(t.translate(None, _NO_CHARS)) for t in texts], np.int64)
+    symbols = np.array([len(t) - len(t.translate(None, _SYMBOLS)) for t in texts], np.int64)
     dup = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         if b"\n" in t:
@@ -312,7 +312,7 @@ def judged(docs: DataFrame, judge: Judge, run: Callable, schema: str, name: str)
 
     def each(lang: str | None, rows: pa.RecordBatch, ppl: np.ndarray) -> pa.Table:
         texts = as_bytes(rows.column("text"))
-        parts = [measure(texts[i:j], ppl[i:j], models.get(lang)) for i, j in text_slices(texts, 1 << 20)]
+        parts = [measure(texts[i:j], ppl[i:j], models.get(lang)) for i, j in text_slices(texts, 1 << 18)]
         return run(rows, [np.concatenate(x) for x in zip(*parts, strict=True)])
 
     counts = judge.counts or kneser_ney.Counts([docs.sparkSession.createDataFrame([], kneser_ney.ROW)] * 3, [1] * 3, {})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mailweave.llm import kneser_ney, line_templates, lm, mixture, ngram_join, packing, perplexity, repeats, token_files, vector_dedup, wordpiece
 from mailweave.llm.queries import tokenizer_file
 from mailweave.llm.tables import sieved
-from mailweave.llm.text import WHITE
+from mailweave.llm.text import WHITE, ranked, word_hashes, word_keys
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, key string"
 
@@ -418,6 +418,55 @@ def test_quality_models_hold_all_documents(spark, monkeypatch):
         assert np.allclose([got[i] for i in mine], want, atol=1e-4)
 
 
+def test_word_keys():
+    rng = np.random.default_rng(31)
+    words = [bytes(rng.choice(list(b"ab\0\xc3\xa9"), n)) for n in range(1, 150) for _ in range(4)] + [b"a", b"a\0", b"a\0\0"]
+    buf = b" \t".join(words[i] for i in rng.integers(0, len(words), 5000).tolist())
+    for raw in (b"", b" \n", b"a", b"\x0ba ", buf, buf + b"\n"):
+        h, s, e = word_keys(raw)
+        assert all(np.array_equal(x, y) for x, y in zip((s, e), word_hashes(raw)[1:], strict=True)) and [raw[i:j] for i, j in zip(s, e, strict=True)] == raw.split()
+        known = dict(zip(raw.split(), h.tolist(), strict=True))
+        assert len(set(known.values())) == len(known) and [known[w] for w in raw.split()] == h.tolist()
+
+
+def test_ranked():
+    rng = np.random.default_rng(37)
+    for bits in (20, 46, 64):
+        keys = rng.integers(0, 1 << bits, 3000, dtype=np.uint64, endpoint=False) if bits < 64 else rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+        for x in (keys, np.concatenate((keys, keys ^ np.uint64(1), keys)), keys[:1], keys[:0]):
+            assert np.array_equal(ranked(x, bits), np.argsort(x, kind="stable"))
+
+
+def test_raised_counts():
+    own = kneser_ney.Grams("en", [b"a b a b c", b"a b", b"b a b a b c c"])
+    for kind in (2, 1):
+        found, place = own.distinct(kind)
+        keys, of = own.distinct(kind - 1)
+        counts = [np.arange(len(found)) * k % 5 for k in (1, 3)]
+        want = [np.zeros(len(keys), int) for _ in range(10)]
+        for g, t in {g: t for t, g in enumerate(place.tolist())}.items():
+            for f, c in enumerate(int(x[g]) for x in counts):
+                want[f][of[t]] += c if kind == 2 and own.before[t] == own.n else c > 0
+                for k, x in enumerate((c, c == 1, c == 2, c > 2)):
+                    want[2 + 2 * k + f][of[own.before[t]]] += x
+        got, columns = kneser_ney.raised(own, kind, counts)
+        assert np.array_equal(got, keys) and all(np.array_equal(x, y) for x, y in zip(columns, want, strict=True))
+
+
+def test_replies_alone_stay_between_orders(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * j) % 37}" for j in range(80)) for i in range(1, 12)]
+    blocks = kneser_ney.blocks_of(spark.createDataFrame([(t, "en", i % 2) for i, t in enumerate(texts)], "text string, lang string, fold int"), "text", "lang")
+    held, add = [], kneser_ney.added_up
+
+    def looked(lists, *how):
+        held.append({p.rsplit("/", 2)[-2].split("-")[0] for p in lists.inputFiles()})
+        return add(lists, *how)
+
+    monkeypatch.setattr(kneser_ney, "added_up", looked)
+    kneser_ney.count(blocks, 1)
+    assert held == [{"blocks"}, {"blocks", "told"}, {"blocks", "told"}]
+
+
 def specials(rows):
     """The rows with strings of special tokens, wide white space and contractions added."""
     return [*rows, (80, "hello <|endoftext|> there"), (81, "x<|endoftext|>y  <|startoftext|>\n"), (82, "a\u00a0 b \u2003c\u3000"), (83, "don't  WE'LL\t\n\ncafe\u0301 \u4e2d\u6587")]
