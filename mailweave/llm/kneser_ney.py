@@ -139,14 +139,15 @@ def blocks_of(rows: DataFrame, texts: str, langs: str, some: set[str] | None = N
                 for part in np.split(np.array(places), np.flatnonzero(np.diff(cut)) + 1):
                     sink = pa.BufferOutputStream()
                     held = batch.take(pa.array(part))
-                    with pa.ipc.new_stream(sink, held.schema) as stream:
+                    # Compressed here, texts are small in shuffles too.
+                    with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
                         stream.write_batch(held)
                     columns = {"kind": [-1], "part": [0], "block": [number], "lang": [x], "blob": [sink.getvalue().to_pybytes()]}
                     yield pa.RecordBatch.from_pydict(columns, pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("blob", pa.binary())]))
                     number += 1
         give_back()
 
-    return materialise(rows.mapInArrow(run, ROW), "blocks")
+    return materialise(rows.mapInArrow(run, ROW), "blocks", "uncompressed")
 
 
 def opened(blob: bytes) -> pa.RecordBatch:

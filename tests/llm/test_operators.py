@@ -437,6 +437,12 @@ def test_ranked():
             assert np.array_equal(ranked(x, bits), np.argsort(x, kind="stable"))
 
 
+def test_blocks_are_compressed(spark):
+    text = "the same words again and " * 4000
+    row = kneser_ney.blocks_of(spark.createDataFrame([(text, "en", 0)], "text string, lang string, fold int"), "text", "lang").first()
+    assert len(row.blob) < len(text) / 10 and kneser_ney.opened(bytes(row.blob)).to_pylist() == [{"text": text, "lang": "en", "fold": 0}]
+
+
 def test_raised_counts():
     own = kneser_ney.Grams("en", [b"a b a b c", b"a b", b"b a b a b c c"])
     for kind in (2, 1):
